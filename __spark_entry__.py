@@ -33,8 +33,19 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
     return _batch[key]
 
 
+def _ordered_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project table with its row order, derived from the raw tables once."""
+
+    def write() -> str:
+        path = scratch.new_table_path(spark, "projects")
+        tables.write_table(part_projects(spark, sf_dir), path)
+        return path
+
+    return tables.read_table(spark, _once(spark, sf_dir, "projects", write))
+
+
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_projects(spark, sf_dir).drop("row_seq")
+    return _ordered_projects(spark, sf_dir).drop("row_seq")
 
 
 def _similar_parts(spark: SparkSession, sf_dir: str) -> similarity.SimilarWorks:
@@ -43,7 +54,7 @@ def _similar_parts(spark: SparkSession, sf_dir: str) -> similarity.SimilarWorks:
         sf_dir,
         "similar-parts",
         lambda: similarity.find_similar_works(
-            part_projects(spark, sf_dir), order_col="row_seq"
+            _ordered_projects(spark, sf_dir), order_col="row_seq"
         ),
     )
 
@@ -90,12 +101,16 @@ def _rounded_stats(df: DataFrame) -> DataFrame:
 # --- tables and checks -------------------------------------------------------------
 
 
+def project_table(spark, sf_dir):
+    return part_projects(spark, sf_dir).drop("row_seq")
+
+
 def dataset_shape(spark, sf_dir):
     return profile.shape(_projects(spark, sf_dir))
 
 
 def dataset_head(spark, sf_dir):
-    return profile.head(part_projects(spark, sf_dir), "row_seq").drop("row_seq")
+    return profile.head(_ordered_projects(spark, sf_dir), "row_seq").drop("row_seq")
 
 
 def numeric_profile(spark, sf_dir):
@@ -229,7 +244,7 @@ def document_pair_count(spark, sf_dir):
 
 def top_similar_parts(spark, sf_dir):
     return similarity.top_pairs(
-        _similar_parts(spark, sf_dir), part_projects(spark, sf_dir)
+        _similar_parts(spark, sf_dir), _projects(spark, sf_dir)
     )
 
 
@@ -331,6 +346,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries by name; each takes (spark, sf_dir)."""
     registered = [
+        project_table,
         dataset_shape,
         dataset_head,
         numeric_profile,

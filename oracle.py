@@ -347,6 +347,7 @@ def statements() -> dict[str, str]:
         category_avg_expenditure_lakh, category_std_expenditure_lakh, spending_zscore,
         spending_anomaly"""
     return {
+        "project_table": f"WITH {PROJ} SELECT {ALL_COLUMNS} FROM proj",
         "dataset_shape": f"""WITH {PROJ} SELECT count(*) AS n_rows,
             {len(COLUMNS)}::BIGINT AS n_columns, '{ALL_COLUMNS}' AS column_names
             FROM proj""",

@@ -103,19 +103,26 @@ def numeric_profile(
     df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, digits: int = 2
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per statistic, rounded."""
-    moments = (
-        _unpivoted(df, columns)
-        .groupBy("metric")
-        .agg(
-            F.count("*").cast("double").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
+    numbers = {c: no_nan(F.col(c)) for c in columns}
+    moments = {
+        "count": lambda x: F.count(x).cast("double"),
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+    }
+    one_row = df.agg(
+        *(of(x).alias(f"{stat} {c}") for stat, of in moments.items() for c, x in numbers.items())
+    )
+    rows = [
+        F.struct(
+            F.lit(stat).alias("stat"), *(F.col(f"`{stat} {c}`").alias(c) for c in columns)
         )
-        .unpivot("metric", ["count", "mean", "std", "min", "max"], "stat", "value")
+        for stat in moments
+    ]
+    quartiles = exact_quantiles(df, columns, QUARTILES)
+    wide = quartiles.groupBy("stat").pivot("metric", list(columns)).agg(F.first("value"))
+    profile = one_row.select(F.inline(F.array(*rows))).unionByName(wide)
+    return profile.select(
+        "stat", *(round_scaled(F.col(c), digits).alias(c) for c in columns)
     )
-    long = moments.unionByName(exact_quantiles(df, columns, QUARTILES))
-    # at most eight rows per profiled column from here on
-    wide = long.groupBy("stat").pivot("metric", list(columns)).agg(F.first("value"))
-    return wide.select("stat", *(round_scaled(F.col(c), digits).alias(c) for c in columns))

@@ -81,7 +81,7 @@ def _tokenised(
 def _collapsed(tokenised: DataFrame) -> DataFrame:
     """One row per category and token sequence, copies merged before the shuffle."""
     return (
-        tokenised.groupBy("category", "words_key")
+        tokenised.groupBy("words_key", "category")
         .agg(
             F.min(F.struct("seq", "project_id")).alias("first"),
             F.any_value("words").alias("words"),
@@ -126,62 +126,65 @@ def _term_counts(works: DataFrame) -> DataFrame:
 def _shared_terms(occurrences: DataFrame) -> DataFrame:
     """Terms of two or more works of a category; the rest need no look-up."""
     return (
-        occurrences.groupBy("category", "term")
+        occurrences.groupBy("term", "category")
         .agg(F.sum("n_projects").alias("df"), F.count("*").alias("n_works"))
         .where(F.col("n_works") > 1)
     )
 
 
 def _vectors(works: DataFrame, threshold: float) -> DataFrame:
-    """One row per work: its unit vector and the lead terms that can find partners.
+    """One row per work that may have a partner: shared terms of its unit vector.
 
-    Terms are ordered from rare to common. Let ``rest`` be the norm of the vector
-    behind a term. If two works reach the threshold, then at their first common term
-    w1 * w2 + rest_1 * rest_2 does too (Cauchy-Schwarz), so that term lies in the lead
-    of both: the part of the order up to where the remaining norm is below the threshold.
+    A term no other work has adds to the norm and to no dot product, so the row keeps
+    the shared terms only. A work whose shared terms make up less than the threshold
+    of its norm can reach it with nobody and is left out.
+
+    Shared terms are ordered from rare to common. Let ``rest`` be the norm of the
+    vector behind a term. If two works reach the threshold, then at their first common
+    term w1 * w2 + rest_1 * rest_2 does too (Cauchy-Schwarz), so that term lies in the
+    lead of both: the part of the order up to where the remaining norm falls below
+    the threshold.
     """
     occurrences = _term_counts(works)
     shared = stored(_shared_terms(occurrences), "shared-terms")
     known = attach(
         occurrences,
         shared,
-        ["category", "term"],
+        ["term", "category"],  # the more selective key first: it is sorted by prefix
         "n_works",
         spread_by="work_id",
         small=False,
     )
     df = F.coalesce("df", "n_projects")
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + df)) + 1.0
-    of_work = W.partitionBy("work_id")
-    from_common = of_work.orderBy(F.desc("n_works"), F.desc("term"))
+    raw = F.col("tf") * idf
+    least = threshold * threshold - SLACK
+    shared_term = F.when(
+        F.col("n_works").isNotNull(), F.struct("term", "n_works", raw.alias("raw"))
+    )
+    by_work = known.groupBy("work_id", "category").agg(
+        F.sum(raw * raw).alias("total"),
+        F.sum(F.when(F.col("n_works").isNotNull(), raw * raw)).alias("shared_total"),
+        F.collect_list(shared_term).alias("shared"),  # NULLs are not collected
+    )
+    promising = by_work.where(F.col("shared_total") >= least * F.col("total"))
+    from_common = W.partitionBy("work_id", "category").orderBy(
+        F.desc("n_works"), F.desc("term")
+    )
     so_far = from_common.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = from_common.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    square = F.col("raw") * F.col("raw")
+    weight = F.col("raw") / F.sqrt("total")
+    behind = F.col("tail") - F.col("weight") * F.col("weight")
     weighted = (
-        known.select(
-            "category",
-            "work_id",
-            "term",
-            F.coalesce("n_works", F.lit(1)).alias("n_works"),
-            (F.col("tf") * idf).alias("raw"),
-        )
-        .withColumn("tail", F.sum(square).over(so_far))
-        .withColumn("total", F.sum(square).over(whole))
-        .withColumn("weight", F.col("raw") / F.sqrt("total"))
-        .withColumn("tail", F.col("tail") / F.col("total"))
-        .withColumn(
-            "rest",
-            F.sqrt(F.greatest(F.col("tail") - F.col("weight") ** 2, F.lit(0.0))),
-        )
+        promising.select("category", "work_id", "total", F.inline("shared"))
+        .withColumn("weight", weight)
+        .withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(so_far))
+        .withColumn("rest", F.sqrt(F.greatest(behind, F.lit(0.0))))
     )
-    leads = (F.col("tail") >= threshold * threshold - SLACK) & (F.col("n_works") > 1)
-    return weighted.groupBy("category", "work_id").agg(
+    lead = F.when(F.col("tail") >= least, F.struct("term", "weight", "rest", "n_works"))
+    return weighted.groupBy("work_id", "category").agg(
         F.count("*").alias("n_terms"),
         F.collect_list(F.struct("term", "weight")).alias("vector"),
-        # NULL entries are not collected
-        F.collect_list(
-            F.when(leads, F.struct("term", "weight", "rest", "n_works"))
-        ).alias("leads"),
+        F.collect_list(lead).alias("leads"),
     )
 
 
@@ -218,7 +221,7 @@ def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     )
     bound = F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b")
     once = (F.col("row") < F.col("column")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["category", "term", "row", "column"]).where(
+    met = left.join(right, ["term", "category", "row", "column"]).where(
         once & (bound >= threshold - SLACK)
     )
     first_a = F.struct("n_a", "a") < F.struct("n_b", "b")
@@ -233,14 +236,14 @@ def _verified(candidates: DataFrame, vectors: DataFrame, threshold: float) -> Da
     wanted = candidates.select(
         F.explode(F.array("short", "long")).alias("work_id")
     ).distinct()
-    needed = vectors.select("work_id", F.inline("vector")).join(
-        wanted, "work_id", "left_semi"
+    needed = vectors.join(wanted, "work_id", "left_semi").select(
+        "work_id", F.inline("vector")
     )
-    of_short = needed.select(F.col("work_id").alias("short"), "term", F.col("weight").alias("x"))
-    of_long = needed.select(F.col("work_id").alias("long"), "term", F.col("weight").alias("y"))
+    of_short = needed.toDF("short", "term", "x")
+    of_long = needed.toDF("long", "term", "y")
     return (
         candidates.join(of_short, "short")
-        .join(of_long, ["long", "term"])
+        .join(of_long, ["term", "long"])
         .groupBy("short", "long")
         .agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
         .where(F.col("cosine") >= threshold)

@@ -17,8 +17,7 @@ from worksight.operators.similarity import (
 )
 
 
-def test_stop_words():
-    words = None
+def test_stop_words(spark):
     words = default_stop_words()
     assert len([w for w in words if w.isalpha() and len(w) > 1]) >= 300
     assert {"two", "system", "of", "at"} <= set(words)
@@ -32,6 +31,19 @@ def test_tokens_of_any_script(spark):
     assert "x1" in tokens and "道路工程" in tokens and "4" not in tokens
 
 
+def test_term_counting_is_planned_once(spark):
+    """Spark must not copy the nested term expressions into a filter of their own."""
+    df = spark.createDataFrame(
+        [("A", "w", 1, 2, "b a b a b")],
+        "category string, work_id string, n_projects long, n_docs long, words string",
+    )
+    counted = similarity._term_counts(df)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1
+    rows = {(r.term, r.tf, r.tf_squares) for r in counted.collect()}
+    assert rows == {("a", 2, 21), ("b", 3, 21), ("a b", 2, 21), ("b a", 2, 21)}
+
+
 def test_sample_pair(spark):
     df = sample_projects(spark)
     similar = find_similar_works(df)

@@ -1,4 +1,4 @@
-"""Left join with a table of one row per key, safe for hot keys."""
+"""Join with a table of one row per key, safe for hot keys."""
 
 from __future__ import annotations
 
@@ -30,9 +30,12 @@ def attach(
     keys: Sequence[str],
     weight: str,
     spread_by: str,
+    how: str = "left",
     small: bool | None = None,
 ) -> DataFrame:
-    """``rows`` with the other columns of ``table``, NULL where the key is not in it.
+    """``rows`` with the other columns of ``table`` for their key.
+
+    Rows whose key is not in the table get NULL (``left``) or are left out (``inner``).
 
     ``table`` holds one row per key and should be stored, as it is read more than
     once; ``weight`` is its column with the number of rows a key has. When the table
@@ -43,7 +46,7 @@ def attach(
     """
     keys = list(keys)
     if fits_broadcast(table, keys) if small is None else small:
-        return rows.join(F.broadcast(table), keys, "left")
+        return rows.join(F.broadcast(table), keys, how)
 
     values = [c for c in table.columns if c not in keys]
     hot = table.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
@@ -55,9 +58,13 @@ def attach(
         settled = settled | F.col(key).isNull()
     salt = F.when(settled, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1)
     found = F.coalesce("_hot", "_cold")
-    return (
+    joined = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.coalesce(salt, F.lit(0)))
         .join(cold, [*keys, "_salt"], "left")
-        .select(*(F.col(c) for c in rows.columns), *(found[v].alias(v) for v in values))
+    )
+    if how == "inner":
+        joined = joined.where(found.isNotNull())
+    return joined.select(
+        *(F.col(c) for c in rows.columns), *(found[v].alias(v) for v in values)
     )

@@ -107,20 +107,34 @@ def _term_counts(works: DataFrame) -> DataFrame:
     def begins(i: Column) -> Column:
         return (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))
 
+    def count(start: Column, k: Column) -> Column:
+        return F.coalesce(F.get("starts", k + 1), F.size("terms")) - start
+
+    def run(start: Column, k: Column) -> Column:
+        return F.struct(F.get("terms", start).alias("term"), count(start, k).alias("tf"))
+
     positions = F.sequence(F.lit(0), F.size("terms") - 1)
-    runs = (
+    squares = F.aggregate(
+        F.transform("starts", count),
+        F.lit(0).cast("long"),
+        lambda total, tf: total + tf.cast("long") * tf,
+    )
+    return (
         works.withColumn("tokens", F.split("words", " "))
         .withColumn("terms", F.sort_array(one_and_two_grams(F.col("tokens"))))
         .withColumn("starts", F.filter(positions, begins))
+        .withColumn("tf_squares", squares)
+        .select(
+            "category",
+            "work_id",
+            "n_projects",
+            "n_docs",
+            "tf_squares",
+            # not a column of its own: Spark would infer a filter from it and evaluate
+            # all of the above a second time, nested, below the projections
+            F.inline(F.transform("starts", run)),
+        )
     )
-    counted = F.transform(
-        "starts",
-        lambda start, k: F.struct(
-            F.get("terms", start).alias("term"),
-            (F.coalesce(F.get("starts", k + 1), F.size("terms")) - start).alias("tf"),
-        ),
-    )
-    return runs.select("category", "work_id", "n_projects", "n_docs", F.inline(counted))
 
 
 def _shared_terms(occurrences: DataFrame) -> DataFrame:
@@ -132,17 +146,23 @@ def _shared_terms(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def _idf(df: str) -> Column:
+    return F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col(df))) + 1.0
+
+
 def _vectors(works: DataFrame, threshold: float) -> DataFrame:
-    """One row per work that may have a partner: shared terms of its unit vector.
+    """Shared terms of the unit vectors, one row per work and term.
 
-    A term no other work has adds to the norm and to no dot product, so the row keeps
-    the shared terms only. A work whose shared terms make up less than the threshold
-    of its norm can reach it with nobody and is left out.
+    A term no other work has adds to the norm and to no dot product. All such terms of
+    a work have the same weight per count, so their part of the norm follows from the
+    sum of squared counts, and only shared terms come through the join. A work whose
+    shared terms make up less than the threshold of its norm can reach it with nobody
+    and is left out.
 
     Shared terms are ordered from rare to common. Let ``rest`` be the norm of the
     vector behind a term. If two works reach the threshold, then at their first common
     term w1 * w2 + rest_1 * rest_2 does too (Cauchy-Schwarz), so that term lies in the
-    lead of both: the part of the order up to where the remaining norm falls below
+    ``lead`` of both: the part of the order up to where the remaining norm falls below
     the threshold.
     """
     occurrences = _term_counts(works)
@@ -153,38 +173,47 @@ def _vectors(works: DataFrame, threshold: float) -> DataFrame:
         ["term", "category"],  # the more selective key first: it is sorted by prefix
         "n_works",
         spread_by="work_id",
+        how="inner",
         small=False,
     )
-    df = F.coalesce("df", "n_projects")
-    idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + df)) + 1.0
-    raw = F.col("tf") * idf
-    least = threshold * threshold - SLACK
-    shared_term = F.when(
-        F.col("n_works").isNotNull(), F.struct("term", "n_works", raw.alias("raw"))
-    )
-    by_work = known.groupBy("work_id", "category").agg(
-        F.sum(raw * raw).alias("total"),
-        F.sum(F.when(F.col("n_works").isNotNull(), raw * raw)).alias("shared_total"),
-        F.collect_list(shared_term).alias("shared"),  # NULLs are not collected
-    )
-    promising = by_work.where(F.col("shared_total") >= least * F.col("total"))
-    from_common = W.partitionBy("work_id", "category").orderBy(
-        F.desc("n_works"), F.desc("term")
+    tf, raw = F.col("tf").cast("long"), F.col("raw")
+    weighted = known.select(
+        "category",
+        "work_id",
+        "term",
+        "n_works",
+        (tf * _idf("df")).alias("raw"),
+        (tf * tf).alias("tf_square"),
+        "tf_squares",
+        _idf("n_projects").alias("own_idf"),
     )
+    from_common = W.partitionBy("work_id").orderBy(F.desc("n_works"), F.desc("term"))
     so_far = from_common.rowsBetween(W.unboundedPreceding, W.currentRow)
-    weight = F.col("raw") / F.sqrt("total")
-    behind = F.col("tail") - F.col("weight") * F.col("weight")
-    weighted = (
-        promising.select("category", "work_id", "total", F.inline("shared"))
-        .withColumn("weight", weight)
-        .withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(so_far))
-        .withColumn("rest", F.sqrt(F.greatest(behind, F.lit(0.0))))
-    )
-    lead = F.when(F.col("tail") >= least, F.struct("term", "weight", "rest", "n_works"))
-    return weighted.groupBy("work_id", "category").agg(
-        F.count("*").alias("n_terms"),
-        F.collect_list(F.struct("term", "weight")).alias("vector"),
-        F.collect_list(lead).alias("leads"),
+    whole = from_common.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    alone = F.col("tf_squares") - F.sum("tf_square").over(whole)
+    shared_total = F.sum(raw * raw).over(whole)
+    least = threshold * threshold - SLACK
+    summed = weighted.select(
+        "category",
+        "work_id",
+        "term",
+        "n_works",
+        "raw",
+        F.sum(raw * raw).over(so_far).alias("tail"),
+        shared_total.alias("shared_total"),
+        (shared_total + alone * F.col("own_idf") * F.col("own_idf")).alias("total"),
+        F.count("*").over(whole).alias("n_terms"),
+    ).where(F.col("shared_total") >= least * F.col("total"))
+    behind = F.greatest(F.col("tail") - raw * raw, F.lit(0.0))
+    return summed.select(
+        "category",
+        "work_id",
+        "term",
+        "n_works",
+        "n_terms",
+        (raw / F.sqrt("total")).alias("weight"),
+        F.sqrt(behind / F.col("total")).alias("rest"),
+        (F.col("tail") >= least * F.col("total")).alias("lead"),
     )
 
 
@@ -194,7 +223,7 @@ def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     The works of a frequent term are split into blocks, and each pair of blocks meets
     in a cell of its own, so the comparisons of one hot term spread over many tasks.
     """
-    leads = vectors.select("category", "work_id", "n_terms", F.inline("leads"))
+    leads = vectors.where("lead").drop("lead")
     blocks = F.ceil(F.col("n_works") / CELL_WORKS).cast("int")
     placed = leads.withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int")
@@ -236,8 +265,8 @@ def _verified(candidates: DataFrame, vectors: DataFrame, threshold: float) -> Da
     wanted = candidates.select(
         F.explode(F.array("short", "long")).alias("work_id")
     ).distinct()
-    needed = vectors.join(wanted, "work_id", "left_semi").select(
-        "work_id", F.inline("vector")
+    needed = vectors.select("work_id", "term", "weight").join(
+        wanted, "work_id", "left_semi"
     )
     of_short = needed.toDF("short", "term", "x")
     of_long = needed.toDF("long", "term", "y")

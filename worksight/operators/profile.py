@@ -83,17 +83,19 @@ def exact_quantiles(
             (F.col("rank") >= F.col("before"))
             & (F.col("rank") < F.col("before") + F.col("in_span"))
         )
-        .select("metric", "span", "stat", "at", "rank", "before")
+        .groupBy("metric", "span", "before")
+        .agg(F.collect_list(F.struct("stat", "at", "rank")).alias("targets"))
     )
     by_value = W.partitionBy("metric", "span").orderBy("value")
     up_to = by_value.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        spans.join(F.broadcast(targets.select("metric", "span").distinct()), ["metric", "span"])
-        .withColumn("upto", F.sum("n").over(up_to))
-    )
-    start = F.col("before") + F.col("upto") - F.col("n")
-    holds = (F.col("rank") >= start) & (F.col("rank") < F.col("before") + F.col("upto"))
-    found = ranked.join(F.broadcast(targets), ["metric", "span"]).where(holds)
+    end = F.col("before") + F.sum("n").over(up_to)
+    found = (
+        # at most two spans per metric and quantile
+        spans.join(F.broadcast(targets), ["metric", "span"])
+        .select("metric", "value", "n", "targets", end.alias("end"))
+        .select("metric", "value", "n", "end", F.inline("targets"))
+        .where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
+    )
     low, high = F.min("value"), F.max("value")
     share = F.max(F.col("at") - F.floor("at"))
     return found.groupBy("metric", "stat").agg((low + (high - low) * share).alias("value"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksight.config import RISK_LEVELS
-from worksight.sources.schema import RISK_COLUMNS
 from worksight.sources.tables import CATEGORY_KEY, ID_KEY
 
 MAX_LIMIT = 500
@@ -133,7 +132,3 @@ def top_spending(spending: DataFrame, k: int = 20) -> DataFrame:
             "spending_anomaly",
         )
     )
-
-
-def is_risk_table(df: DataFrame) -> bool:
-    return set(RISK_COLUMNS) <= set(df.columns)

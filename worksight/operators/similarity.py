@@ -24,8 +24,9 @@ from worksight.operators.keyed_join import attach
 from worksight.sources.schema import require_columns
 from worksight.sources.scratch import stored
 
-# Works that share a term meet in cells of at most about this many by this many.
-CELL_WORKS = 2_000
+# Works that share a lead term, and projects of two works, meet in cells of at most
+# about this many by this many.
+CELL_WORKS = 10_000
 # Slack of the bounds for floating-point sums; the threshold itself has none.
 SLACK = 1e-9
 
@@ -197,7 +198,6 @@ def _vectors(works: DataFrame, threshold: float) -> DataFrame:
         "category",
         "work_id",
         "term",
-        "n_works",
         "raw",
         F.sum(raw * raw).over(so_far).alias("tail"),
         shared_total.alias("shared_total"),
@@ -209,7 +209,6 @@ def _vectors(works: DataFrame, threshold: float) -> DataFrame:
         "category",
         "work_id",
         "term",
-        "n_works",
         "n_terms",
         (raw / F.sqrt("total")).alias("weight"),
         F.sqrt(behind / F.col("total")).alias("rest"),
@@ -220,13 +219,19 @@ def _vectors(works: DataFrame, threshold: float) -> DataFrame:
 def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs of works whose bound at a common lead term reaches the threshold.
 
-    The works of a frequent term are split into blocks, and each pair of blocks meets
-    in a cell of its own, so the comparisons of one hot term spread over many tasks.
+    A term that leads many works has them split into blocks, and each pair of blocks
+    meets in a cell of its own, so the comparisons of a hot term spread over many tasks.
     """
-    leads = vectors.where("lead").drop("lead")
-    blocks = F.ceil(F.col("n_works") / CELL_WORKS).cast("int")
-    placed = leads.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int")
+    leads = vectors.where("lead").select(
+        "category", "work_id", "term", "n_terms", "weight", "rest"
+    )
+    crowded = leads.groupBy("term", "category").agg(F.count("*").alias("n_leads"))
+    crowded = stored(crowded.where(F.col("n_leads") > CELL_WORKS), "crowded-terms")
+    cells = F.ceil(F.coalesce("n_leads", F.lit(1)) / CELL_WORKS).cast("int")
+    placed = (
+        attach(leads, crowded, ["term", "category"], "n_leads", spread_by="work_id")
+        .withColumn("blocks", cells)
+        .withColumn("block", F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int"))
     )
     left = placed.select(
         "category",

@@ -38,7 +38,7 @@ class SimilarWorks:
     works: category, words_key, work_id (its first project), work_seq, n_projects
     pairs: category, work_1, seq_1, n_1, work_2, seq_2, n_2, similarity_pct, with
         work_1 before work_2; stands for n_1 * n_2 project pairs
-    members: project_id, seq, category, words_key; lazy, one row per project with text
+    members: project_id, seq, category, words_key; one row per project with tokens
     """
 
     works: DataFrame
@@ -56,7 +56,8 @@ def _words(text: Column, stop_words: list[str]) -> Column:
 
 
 def _words_key(words: Column) -> Column:
-    return F.unhex(F.sha2(words, 256))
+    """Digest of a token sequence; NULL for an empty one, which matches nothing."""
+    return F.when(words != "", F.unhex(F.sha2(words, 256)))
 
 
 def _tokenised(
@@ -138,10 +139,13 @@ def _term_counts(works: DataFrame) -> DataFrame:
     )
 
 
-def _shared_terms(occurrences: DataFrame) -> DataFrame:
+def _shared_terms(works: DataFrame) -> DataFrame:
     """Terms of two or more works of a category; the rest need no look-up."""
+    tokens = works.withColumn("tokens", F.split("words", " "))
+    terms = F.array_distinct(one_and_two_grams(F.col("tokens")))
     return (
-        occurrences.groupBy("term", "category")
+        tokens.select("category", "n_projects", F.explode(terms).alias("term"))
+        .groupBy("term", "category")
         .agg(F.sum("n_projects").alias("df"), F.count("*").alias("n_works"))
         .where(F.col("n_works") > 1)
     )
@@ -166,10 +170,9 @@ def _vectors(works: DataFrame, threshold: float) -> DataFrame:
     ``lead`` of both: the part of the order up to where the remaining norm falls below
     the threshold.
     """
-    occurrences = _term_counts(works)
-    shared = stored(_shared_terms(occurrences), "shared-terms")
+    shared = stored(_shared_terms(works), "shared-terms")
     known = attach(
-        occurrences,
+        _term_counts(works),
         shared,
         ["term", "category"],  # the more selective key first: it is sorted by prefix
         "n_works",
@@ -304,14 +307,16 @@ def find_similar_works(
     if not 0.0 < threshold <= 1.0:
         raise ValueError("similarity_threshold must be above 0 and at most 1")
     stop_words = default_stop_words() if stop_words is None else stop_words
-    tokenised = _tokenised(
-        projects, id_col, group_col, text_col, order_col or id_col, stop_words
+    # texts are read and cut into tokens once; later reads leave the words column out
+    tokenised = stored(
+        _tokenised(projects, id_col, group_col, text_col, order_col or id_col, stop_words),
+        "tokens",
     )
     works = stored(_collapsed(tokenised), "works")
     sizes = stored(
         works.groupBy("category").agg(F.sum("n_projects").alias("n_docs")), "sizes"
     )
-    has_words = F.col("words") != ""
+    has_words = F.col("words_key").isNotNull()
     sized = attach(
         works.where(has_words), sizes, ["category"], "n_docs", spread_by="work_id"
     )

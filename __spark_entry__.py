@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-import oracle  # noqa: E402
+import worksight_sql  # noqa: E402
 from worksight.functions.display import flag_reasons  # noqa: E402
 from worksight.functions.numeric import round_scaled  # noqa: E402
 from worksight.operators import overlay, profile, signals, similarity  # noqa: E402
@@ -392,4 +392,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL over the same tables."""
-    return oracle.statements()
+    return worksight_sql.statements()

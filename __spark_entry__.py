@@ -36,12 +36,12 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 def _ordered_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The project table with its row order, derived from the raw tables once."""
 
-    def write() -> str:
-        path = scratch.new_table_path(spark, "projects")
-        tables.write_table(part_projects(spark, sf_dir), path)
-        return path
-
-    return tables.read_table(spark, _once(spark, sf_dir, "projects", write))
+    return _once(
+        spark,
+        sf_dir,
+        "projects",
+        lambda: scratch.stored(part_projects(spark, sf_dir), "projects"),
+    )
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = risk.score_projects(
             _projects(spark, sf_dir), similar=_similar_parts(spark, sf_dir)
         )
-        path = scratch.new_table_path(spark, "risk-table")
+        path = scratch.output_path(spark, "risk-table")
         tables.write_risk_table(scored, path)
         return path
 
@@ -123,7 +123,7 @@ def repeated_line_keys(spark, sf_dir):
 
 
 def csv_round_trip(spark, sf_dir):
-    path = scratch.new_table_path(spark, "projects-csv")
+    path = scratch.output_path(spark, "projects-csv")
     tables.write_csv(_projects(spark, sf_dir), path)
     return tables.read_csv(spark, path)
 
@@ -265,8 +265,12 @@ def document_duplicate_signals(spark, sf_dir):
     return similarity.project_signals(_similar_documents(spark, sf_dir))
 
 
-def signals_of_top_pairs(spark, sf_dir):
-    return similarity.pair_signals(top_similar_parts(spark, sf_dir))
+def signals_of_pairs(spark, sf_dir):
+    """Signals from a whole pair table, here the pairs of different works of documents."""
+    pairs = _similar_documents(spark, sf_dir).pairs
+    return similarity.pair_signals(
+        pairs.withColumnsRenamed({"work_1": "project_1", "work_2": "project_2"})
+    )
 
 
 # --- risk --------------------------------------------------------------------------
@@ -367,7 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         part_pair_count,
         top_similar_parts,
         part_duplicate_signals,
-        signals_of_top_pairs,
+        signals_of_pairs,
         similar_document_works,
         document_copy_groups,
         document_pair_count,
@@ -387,9 +391,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         investigation_view,
         flag_reason_texts,
     ]
-    return {query.__name__: query for query in registered}
+    return {query.__name__: query for query in registered} | _llm_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL over the same tables."""
-    return worksight_sql.statements()
+    return worksight_sql.statements() | _llm_sql()
+
+
+# --- training-data operators, present only with their subpackage --------------------
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    try:
+        import corpus_pipeline
+        from worksight.llm import queries as llm_queries
+    except ImportError:
+        return {}
+    return llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def _llm_sql() -> dict[str, str]:
+    try:
+        import corpus_pipeline
+        from worksight.llm import queries as llm_queries
+    except ImportError:
+        return {}
+    sql = corpus_pipeline.ORACLE_SQL
+    return llm_queries.oracle_sql() | ({"pipeline": sql} if sql else {})

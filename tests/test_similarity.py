@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import projects, sample_projects, similar_by_brute_force
-from worksight.functions.text import default_stop_words, word_tokens
+from worksight.functions.text import STOP_WORDS, word_tokens
 from worksight.operators import keyed_join, similarity
 from worksight.operators.similarity import (
     copy_groups,
@@ -18,7 +18,7 @@ from worksight.operators.similarity import (
 
 
 def test_stop_words(spark):
-    words = default_stop_words()
+    words = STOP_WORDS
     assert len([w for w in words if w.isalpha() and len(w) > 1]) >= 300
     assert {"two", "system", "of", "at"} <= set(words)
     assert not {"did", "just", "near", "construction"} & set(words)
@@ -101,7 +101,7 @@ def test_complete_against_brute_force(spark, monkeypatch, setting, seed):
         module = similarity if name == "CELL_WORKS" else keyed_join
         monkeypatch.setattr(module, name, value)
     rows = sorted(_corpus(seed))
-    expected = similar_by_brute_force(rows, default_stop_words())
+    expected = similar_by_brute_force(rows, STOP_WORDS)
     df = _frame(spark, rows, partitions=2 + seed)
     similar = find_similar_works(df)
 
@@ -158,7 +158,7 @@ def test_threshold_is_a_parameter(spark):
     rows = sorted(_corpus(5, n=60, hot=3))
     df = _frame(spark, rows)
     for threshold in (0.3, 0.95):
-        expected = similar_by_brute_force(rows, default_stop_words(), threshold)
+        expected = similar_by_brute_force(rows, STOP_WORDS, threshold)
         similar = find_similar_works(
             df, config=ScreeningConfig(similarity_threshold=threshold)
         )

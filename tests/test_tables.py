@@ -65,26 +65,19 @@ def test_duplicate_keys(spark):
     assert [tuple(r) for r in schema.duplicate_keys(df, "project_id").collect()] == [("A", 2)]
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch):
-    assert scratch.scratch_dir(spark)
-
-    class Context:
-        master = "yarn"
-
-        @staticmethod
-        def getCheckpointDir():
-            return None
-
-    class Conf:
-        @staticmethod
-        def get(key, default):
-            return default
-
-    class Session:
-        sparkContext, conf = Context, Conf
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(Session)
+def test_stored_frames_are_released(spark):
+    scratch.release(spark)
+    frame = scratch.stored(spark.range(3), "numbers")
+    assert frame.count() == 3
+    assert scratch.release(spark) == 1
+
+
+def test_without_a_shared_folder_frames_are_persisted(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: None)
+    frame = scratch.stored(spark.range(3), "numbers")
+    assert frame.storageLevel.useDisk and frame.storageLevel.useMemory
+    assert frame.count() == 3
+    assert scratch.release(spark) == 1
 
 
 def test_profile_agrees_with_pandas(spark):

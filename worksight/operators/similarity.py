@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from worksight.config import DEFAULT, ScreeningConfig
 from worksight.functions.numeric import round_scaled
-from worksight.functions.text import default_stop_words, one_and_two_grams, word_tokens
+from worksight.functions.text import STOP_WORDS, one_and_two_grams, word_tokens
 from worksight.operators.keyed_join import attach
 from worksight.sources.schema import require_columns
 from worksight.sources.scratch import stored
@@ -306,7 +306,7 @@ def find_similar_works(
     threshold = config.similarity_threshold
     if not 0.0 < threshold <= 1.0:
         raise ValueError("similarity_threshold must be above 0 and at most 1")
-    stop_words = default_stop_words() if stop_words is None else stop_words
+    stop_words = STOP_WORDS if stop_words is None else stop_words
     # texts are read and cut into tokens once; later reads leave the words column out
     tokenised = stored(
         _tokenised(projects, id_col, group_col, text_col, order_col or id_col, stop_words),

@@ -1,45 +1,70 @@
-"""Intermediate tables in the cluster's shared checkpoint folder."""
+"""Where results live: outputs in the warehouse, intermediates in the checkpoint folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
+# what stored() keeps per application, until release()
+_kept: dict[str, list] = {}
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master, where every task runs on this machine, gets a temporary
-    folder when the setting is missing.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="worksight-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder the cluster names for intermediates, or None."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else None
 
 
-def new_table_path(spark: SparkSession, name: str) -> str:
+def _table_path(spark: SparkSession, folder: str, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{scratch_dir(spark)}/worksight/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/worksight/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def output_path(spark: SparkSession, name: str) -> str:
+    """A new path for a real output, such as the risk table, in Spark's warehouse."""
+    return _table_path(spark, spark.conf.get(WAREHOUSE_DIR), name)
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate that every executor can reach."""
+    folder = shared_dir(spark) or spark.conf.get(WAREHOUSE_DIR)
+    return _table_path(spark, folder, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once and read back: a cut lineage that outlives executors.
+    """The frame computed once: a Parquet table in the shared folder, read back.
 
-    Unlike ``checkpoint()`` the Parquet copy is still pruned by column, and its size
-    is known to the planner.
+    The table cuts the lineage and outlives executors, is pruned by column, and its
+    size is known to the planner. Without a shared folder the frame is persisted by
+    Spark instead, which recomputes what a lost executor held.
     """
     spark = df.sparkSession
+    if not shared_dir(spark):
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _kept.setdefault(spark.sparkContext.applicationId, []).append(kept)
+        return kept
     path = new_table_path(spark, name)
     df.write.parquet(path)
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Give back everything ``stored()`` keeps for this application.
+
+    Frames built on it can't be read any more. Returns how many were released.
+    """
+    kept = _kept.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for item in kept:
+        if isinstance(item, str):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(item)
+            path.getFileSystem(hadoop).delete(path, True)
+        else:
+            item.unpersist()
+    return len(kept)

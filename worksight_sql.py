@@ -7,22 +7,8 @@ rounding arithmetic.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
-from worksight.functions.text import TOKEN_PATTERN, extend_stop_words
-
-
-def _stop_words() -> list[str]:
-    """The default stop words without a Spark session, from the installed Spark's list."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    (jar,) = glob.glob(os.path.join(jars, "spark-mllib_*.jar"))
-    words = zipfile.ZipFile(jar).read("org/apache/spark/ml/feature/stopwords/english.txt")
-    return extend_stop_words(words.decode().split())
-
+from worksight.functions.text import STOP_WORDS, TOKEN_PATTERN
+from worksight.sources.schema import PROJECT_SCHEMA, RISK_COLUMNS
 
 # --- expressions -------------------------------------------------------------------
 
@@ -122,10 +108,7 @@ SUPP = f"""supp AS (
         JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN {_amounts("l_suppkey")} ON k = s_suppkey)"""
 
-COLUMNS = """project_id mp_name state district category work_description
-    estimated_cost_lakh sanctioned_amount_lakh expenditure_lakh physical_progress_pct
-    planned_duration_days elapsed_days start_date expected_completion_date
-    current_status latitude longitude implementing_agency""".split()
+COLUMNS = PROJECT_SCHEMA.names
 ALL_COLUMNS = ", ".join(COLUMNS)
 
 COST = f"""cost AS (
@@ -170,7 +153,7 @@ DETECTORS = ", ".join([PROJ, COST, DELAY, SPEND])
 
 def _similarity(source: str) -> str:
     """CTEs tok, sim (project pairs), works from docs(id, seq, cat, txt) as ``source``."""
-    stops = ", ".join("'" + word.replace("'", "''") + "'" for word in _stop_words())
+    stops = ", ".join(f"'{word}'" for word in STOP_WORDS)
     return f"""docs AS ({source}),
     tok AS MATERIALIZED (
         SELECT id, seq, cat, list_filter(
@@ -223,20 +206,15 @@ TOP_20 = """SELECT id_1 AS project_1, id_2 AS project_2, sim.cat AS category,
     FROM sim JOIN docs a ON a.id = id_1 JOIN docs b ON b.id = id_2
     ORDER BY similarity_pct DESC, sim.cat, seq_1, seq_2 LIMIT 20"""
 SIGNALS = "SELECT * FROM signals"
-TOP_SIGNALS = f"""SELECT id AS project_id, max(similarity_pct) AS max_similarity_pct,
+PAIR_SIGNALS = f"""SELECT id AS project_id, max(similarity_pct) AS max_similarity_pct,
         count(*) AS similar_project_count, true AS duplicate_signal
-    FROM (SELECT unnest([project_1, project_2]) AS id, similarity_pct FROM ({TOP_20}))
+    FROM (SELECT unnest([project_1, project_2]) AS id, similarity_pct FROM ({WORK_PAIRS}))
     GROUP BY 1"""
 
 
 # --- risk --------------------------------------------------------------------------
 
-RISK_COLUMNS = """sanction_overrun_pct delay_days delay_pct max_similarity_pct
-    similar_project_count duplicate_signal category_avg_expenditure_lakh
-    category_std_expenditure_lakh spending_zscore spending_anomaly cost_score
-    delay_score duplicate_score spending_score risk_score risk_level
-    risk_reasons""".split()
-ALL_RISK = ", ".join(COLUMNS + RISK_COLUMNS)
+ALL_RISK = ", ".join(COLUMNS + list(RISK_COLUMNS))
 
 RISK = f"""merged AS (
     SELECT spend.* REPLACE (coalesce(spending_zscore, 0) AS spending_zscore),
@@ -410,7 +388,7 @@ def statements() -> dict[str, str]:
         "part_pair_count": parts + PAIR_COUNT,
         "top_similar_parts": parts + TOP_20,
         "part_duplicate_signals": parts + SIGNALS,
-        "signals_of_top_pairs": parts + TOP_SIGNALS,
+        "signals_of_pairs": texts + PAIR_SIGNALS,
         "similar_document_works": texts + WORK_PAIRS,
         "document_copy_groups": texts + COPY_GROUPS,
         "document_pair_count": texts + PAIR_COUNT,

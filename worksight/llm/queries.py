@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, packing, toxicity
+from worksight.llm import bpe, fingerprints, packing, toxicity
 from worksight.llm.common import crc_fold, table
 
 
@@ -21,6 +21,11 @@ def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("input_ids")
 
 
+def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a factorization machine fitted outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +47,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op3_pack_binary,
+        op5_prefix_fingerprints,
         op6_toxicity,
         op8_byte_bpe,
     ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, fingerprints, packing, toxicity
+from worksight.llm import bpe, fingerprints, minhash, packing, toxicity
 from worksight.llm.common import crc_fold, table
 
 
@@ -35,6 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: three-word shingles, similarity 0.85."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash.near_duplicates(docs, width=3, percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again, with digests of both."""
     return bpe.round_trip_digests(
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_pack_binary,
         op5_prefix_fingerprints,
         op6_toxicity,
+        op7_minhash,
         op8_byte_bpe,
     ]
     return {query.__name__: query for query in registered}

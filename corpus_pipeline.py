@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksight.llm import packing, toxicity
+from worksight.llm import minhash, packing, substrings, toxicity
 from worksight.llm.common import ship_code, table
 from worksight.sources.scratch import new_table_path
 
@@ -23,6 +23,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("predicted") == 0).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    ship_code(spark)
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    dropped = found.where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that an earlier one has.
+
+    The cut is by bytes; what is left of a character that is cut through goes too. n_chars
+    becomes the code points that are left. A document that loses all its bytes stays, empty.
+    """
+    ship_code(spark)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substrings.remove_repeats(docs, threshold=50, carry=others)
+    text = substrings.whole_characters("kept")
+    cut = cut.select("doc_id", text.alias("text"), "extra.*")
+    if "n_chars" in others:
+        counted = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", counted)
+    return cut.select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as sequences of token ids of power-of-two length."""
     ship_code(spark)
@@ -31,6 +56,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", drop_repeats),
     ("packing", pack),
 ]
 

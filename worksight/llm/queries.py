@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, fingerprints, minhash, packing, toxicity
+from worksight.llm import bpe, fingerprints, minhash, packing, substrings, toxicity
 from worksight.llm.common import crc_fold, table
 
 
@@ -21,6 +21,12 @@ def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("input_ids")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 50 bytes that an earlier document has."""
+    docs = table(spark, sf_dir, "documents")
+    return substrings.remove_repeats(docs, threshold=50).drop("kept", "extra")
+
+
 def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and their likeness."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op3_pack_binary,
+        op4_repeated_strings,
         op5_prefix_fingerprints,
         op6_toxicity,
         op7_minhash,

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, fingerprints, minhash, packing, substrings, toxicity
+from worksight.llm import bpe, fingerprints, minhash, packing, substrings, toxicity, warc
 from worksight.llm.common import crc_fold, table
+from worksight.sources.scratch import new_table_path
 
 
 def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archives(pages, new_table_path(spark, "warc"), min_bytes=0)
+    return warc.read_back(archive, pages).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op3_pack_binary,
@@ -64,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_toxicity,
         op7_minhash,
         op8_byte_bpe,
+        op9_warc_index,
     ]
     return {query.__name__: query for query in registered}
 

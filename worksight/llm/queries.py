@@ -7,11 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, fingerprints, minhash, packing, substrings, toxicity, warc
+from worksight.llm import bpe, fingerprints, lm, minhash, packing, substrings, toxicity, warc
 from worksight.llm.common import crc_fold, table
 from worksight.sources.scratch import new_table_path
 
 
+def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the attention model and by word unigrams, fold 0 of 10 held out."""
+    docs = table(spark, sf_dir, "documents")
+    subwords = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    model, words = lm.fit(docs, *subwords, folds=10)
+    return lm.score(docs, model, words, *subwords, folds=10)
+
+
 def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of power-of-two length, one row for each piece."""
     packed = packing.pack(
@@ -66,6 +74,7 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
+        op1_attention_lm,
         op3_pack_binary,
         op4_repeated_strings,
         op5_prefix_fingerprints,

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import in_slices, text_or_empty
+from worksight.llm.common import Numbering, in_slices, text_or_empty
 
 # White space of the rank files' pattern: Unicode White_Space, unlike Python's wider \s.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -37,14 +37,6 @@ _OTHER_WHITE = re.compile(rf"(?![ \n])[{_WHITE}]").search
 CACHED_CHUNKS = 600_000
 
 
-class Numbering(dict):
-    """Consecutive numbers for keys, given at the first lookup."""
-
-    def __missing__(self, key):
-        number = self[key] = len(self)
-        return number
-
-
 class Ragged(NamedTuple):
     """Lists of ids behind one another."""
 

@@ -60,3 +60,11 @@ class BoundedCache(dict):
     def room_for(self, n: int) -> None:
         if len(self) + n > self.limit:
             self.clear()
+
+
+class Numbering(dict):
+    """Consecutive numbers for keys, given at the first lookup."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number

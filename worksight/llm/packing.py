@@ -24,43 +24,82 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from worksight.llm.common import BoundedCache, in_slices, text_or_empty
+from worksight.llm.common import BoundedCache, Numbering, in_slices, text_or_empty
 from worksight.sources.scratch import stored
 
 MAX_TOKENS = 4096
+WORD_END = "</w>"  # fixed value: marks the last token of a word
+PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # ASCII, without quotes and backslash
 # Words whose ids a worker keeps between batches, about 150 bytes each.
 CACHED_WORDS = 600_000
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that splits at white space and drops it.
+    """Ids of texts by a lower-casing tokenizer that splits at white space and drops it.
 
-    Such a tokenizer treats each word alone, so every distinct word is encoded once.
+    Such a tokenizer treats each word alone, so every distinct word is encoded once. A run
+    of letters followed by ASCII punctuation is encoded as these two, as the tokenizer's
+    pattern does; runs of letters are encoded many at a time and told apart by their last
+    token, which carries the word end.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.ends_word[number] = token.endswith(WORD_END)
         self.known = BoundedCache(CACHED_WORDS)
 
+    def _one_by_one(self, words: list[str]) -> Iterator[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return (np.array(found.ids, "<u4").tobytes() for found in encoded)
+
+    def _runs_of_letters(self, runs: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(runs), 5_000):
+            some = runs[start : start + 5_000]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):  # lower-casing made something else of a letter
+                yield from self._one_by_one(some)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                yield data[at:end]
+                at = end
+
+    def _learn(self, words: list[bytes]) -> None:
+        runs, others, made_of = Numbering(), Numbering(), []
+        for word in words:
+            text = word.decode()
+            letters = text.rstrip(PUNCTUATION)
+            # some capitals become a letter and a mark, which joins what follows
+            if letters.isalpha() and letters.lower().isalpha():
+                rest = text[len(letters) :]
+                made_of.append((runs[letters], others[rest] if rest else -1))
+            else:
+                made_of.append((-1, others[text]))
+        run_ids = list(self._runs_of_letters(list(runs)))
+        other_ids = list(self._one_by_one(list(others)))
+        run_ids.append(b"")  # at -1
+        other_ids.append(b"")
+        for word, (run, other) in zip(words, made_of, strict=True):
+            self.known[word] = run_ids[run] + other_ids[other]
+
     def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text and the end id."""
         end = np.array([end_id], "<u4").tobytes()
-        words = [text.encode().split() for text in texts]  # at ASCII white space only
-        new = list(set().union(*words).difference(self.known))
+        words = [text.encode().lower().split() for text in texts]  # at ASCII white space
+        new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            new = list(set().union(*words))
-        known = self.known
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            encoded = self.tokenizer.encode_batch_fast(
-                [word.decode() for word in some], add_special_tokens=False
-            )
-            for word, found in zip(some, encoded, strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+            new = set().union(*words)
+        self._learn(list(new))
+        get = self.known.__getitem__
         for of_text in words:
-            yield b"".join([known[word] for word in of_text]) + end
+            yield b"".join(map(get, of_text)) + end
 
 
 @functools.lru_cache(maxsize=2)

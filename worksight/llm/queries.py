@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksight.llm import bpe, fingerprints, lm, minhash, packing, substrings, toxicity, warc
+from worksight.llm import (
+    bpe,
+    fingerprints,
+    html_text,
+    lm,
+    minhash,
+    packing,
+    substrings,
+    toxicity,
+    warc,
+)
 from worksight.llm.common import crc_fold, table
 from worksight.sources.scratch import new_table_path
 
@@ -20,6 +30,11 @@ def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, words, *subwords, folds=10)
 
 
+def op2_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by minimum-cut labelling of their blocks."""
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of power-of-two length, one row for each piece."""
     packed = packing.pack(
@@ -75,6 +90,7 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_attention_lm,
+        op2_min_cut_text,
         op3_pack_binary,
         op4_repeated_strings,
         op5_prefix_fingerprints,

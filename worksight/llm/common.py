@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +70,31 @@ class Numbering(dict):
     def __missing__(self, key):
         number = self[key] = len(self)
         return number
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of two rows or more from batches sorted by ``keys``."""
+    rest: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not rest.num_rows:
+            continue
+        rest = rest.combine_chunks()
+        columns = [rest.column(k).to_numpy() for k in keys]
+        new = np.zeros(rest.num_rows, bool)
+        new[0] = True
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.concatenate((starts[1:], [rest.num_rows]))
+        if batch is not None:  # the last group may go on in the next batch
+            starts, ends, tail = starts[:-1], ends[:-1], int(starts[-1])
+        else:
+            tail = rest.num_rows
+        whole = rest.to_batches()[0]
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if end - start > 1:
+                yield whole.slice(start, end - start)
+        rest = rest.slice(tail)

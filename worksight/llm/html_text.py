@@ -265,7 +265,7 @@ def evidence(block: Block) -> float:
     score += 0.8 * bool(_END.search(block.text))
     score += 1.5 * block.heading
     score += 3.0 * inside + 1.5 * (named and not inside)
-    score -= 3.0 * bool(_LEGAL.search(block.text))
+    score -= 3.0 * (not inside and bool(_LEGAL.search(block.text)))
     return score
 
 

@@ -16,7 +16,6 @@ Neither step leaves out a pair that could join two components.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import BoundedCache, in_slices, text_or_empty
+from worksight.llm.common import BoundedCache, groups, in_slices, text_or_empty
 from worksight.llm.components import components
 from worksight.sources.scratch import stored
 
@@ -248,7 +247,7 @@ def _open_pairs(
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "low", "high"]):
+        for group in groups(batches, ["key", "low", "high"]):
             ids = group.column("id")
             mine = group.column("mine").to_numpy()
             places = {}
@@ -283,34 +282,6 @@ def _open_pairs(
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of two rows or more from batches sorted by ``keys``."""
-    rest: pa.Table | None = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-        if rest is None or not rest.num_rows:
-            continue
-        rest = rest.combine_chunks()
-        columns = [rest.column(k).to_numpy() for k in keys]
-        new = np.zeros(rest.num_rows, bool)
-        new[0] = True
-        for column in columns:
-            new[1:] |= column[1:] != column[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.concatenate((starts[1:], [rest.num_rows]))
-        if batch is not None:  # the last group may go on in the next batch
-            starts, ends, tail = starts[:-1], ends[:-1], int(starts[-1])
-        else:
-            tail = rest.num_rows
-        whole = rest.to_batches()[0]
-        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            if end - start > 1:
-                yield whole.slice(start, end - start)
-        rest = rest.slice(tail)
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from worksight.llm import (
     bpe,
@@ -13,6 +14,7 @@ from worksight.llm import (
     html_text,
     lm,
     minhash,
+    neighbours,
     packing,
     substrings,
     toxicity,
@@ -87,6 +89,12 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(archive, pages).drop("url")
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_attention_lm,
@@ -98,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_minhash,
         op8_byte_bpe,
         op9_warc_index,
+        op10_nn_descent,
     ]
     return {query.__name__: query for query in registered}
 

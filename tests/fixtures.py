@@ -8,7 +8,9 @@ import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from worksight.operators import similarity
 from worksight.sources.schema import PROJECT_SCHEMA
 
 # A sample of 15 projects (id, category, description, estimated,
@@ -130,3 +132,26 @@ def similar_by_brute_force(
                 if cosine >= threshold:
                     found[id_1, id_2] = round(cosine * 100, 2)
     return found
+
+
+def list_pairs(similar, table, id_col="project_id", text_col="work_description"):
+    """Every similar project pair as a row, quadratic in a group of copies."""
+    keyed = similar.works.select("category", "words_key", "work_id")
+    members = similar.members.join(keyed, ["category", "words_key"]).select(
+        "work_id", F.struct("seq", "project_id").alias("member")
+    )
+    entries = similar.pairs.select("category", "similarity_pct", "work_1", "work_2").unionByName(
+        similar.works.where("n_projects > 1").select(
+            "category",
+            F.lit(100.0).alias("similarity_pct"),
+            F.col("work_id").alias("work_1"),
+            F.col("work_id").alias("work_2"),
+        )
+    )
+    met = (
+        entries.join(members.toDF("work_1", "p"), "work_1")
+        .join(members.toDF("work_2", "q"), "work_2")
+        .where((F.col("work_1") != F.col("work_2")) | (F.col("p") < F.col("q")))
+    )
+    described = similarity._described(similarity._oriented_pairs(met), table, id_col, text_col)
+    return described.orderBy(*similarity._report_order()).drop("seq_1", "seq_2")

@@ -125,7 +125,7 @@ def test_read_queries(stored_risk, sample_risk):
 
 
 def test_read_errors(stored_risk):
-    with pytest.raises(ValueError, match="Low, Medium, or High"):
+    with pytest.raises(ValueError, match="unknown level"):
         reads.projects(stored_risk, risk_level="x")
     for limit in (0, 501):
         with pytest.raises(ValueError, match="limit"):

@@ -5,11 +5,13 @@ import pytest
 from fixtures import SAMPLE_RESULTS, projects, sample_projects
 from worksight.operators import keyed_join
 from worksight.operators.signals import (
+    category_spending,
     with_cost_signal,
     with_delay_signal,
     with_spending_signal,
 )
 from worksight.plans import reports
+from worksight.sources.scratch import stored
 
 
 def _by_id(df, *columns):
@@ -86,13 +88,16 @@ def _spending_rows():
     return rows
 
 
-@pytest.mark.parametrize("bounds", [(100_000, 1_000), (0, 2), (0, 1)])
-def test_spending(spark, monkeypatch, bounds):
-    """The same results by broadcast and by the split of hot and other categories."""
-    monkeypatch.setattr(keyed_join, "BROADCAST_ROWS", bounds[0])
-    monkeypatch.setattr(keyed_join, "HOT_KEYS", bounds[1])
+@pytest.mark.parametrize("task_rows", [None, 1_000_000, 3, 1])
+def test_spending(spark, monkeypatch, task_rows):
+    """The same results by a plain join and by the spread of hot categories."""
     df = projects(spark, *_spending_rows())
-    out = with_spending_signal(df)
+    stats = None
+    if task_rows:
+        monkeypatch.setattr(keyed_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(keyed_join, "TASK_ROWS", task_rows)
+        stats = stored(category_spending(df), "category-spending")
+    out = with_spending_signal(df, stats=stats)
     assert out.columns == df.columns + reports.SPENDING_REPORT[3:]
     got = _by_id(out, *reports.SPENDING_REPORT[3:])
     assert len(got) == df.count()
@@ -104,6 +109,27 @@ def test_spending(spark, monkeypatch, bounds):
     assert got["z4"][2] == pytest.approx(4 / math.sqrt(5))
 
 
+def test_spending_plan_starts_no_job(spark):
+    df = sample_projects(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spending-plan", "plan only")
+    with_spending_signal(df)
+    assert list(tracker.getJobIdsForGroup("spending-plan")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_inner_attach_is_an_inner_join(spark, monkeypatch):
+    """Rows without a key in the table can be dropped before the shuffle, by a Bloom filter."""
+    monkeypatch.setattr(keyed_join, "TASK_ROWS", 5)
+    rows = spark.range(400).selectExpr("id", "id % 40 AS k").filter("id % 3 < 2")
+    table = stored(spark.range(7).selectExpr("id AS k", "10L AS n", "id * 2 AS v"), "small")
+    joined = keyed_join.attach(rows, table, ["k"], "n", "id", "inner", small=False)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan
+    expected = {(r, r % 40, r % 40 * 2) for r in range(400) if r % 3 < 2 and r % 40 < 7}
+    assert {(r.id, r.k, r.v) for r in joined.collect()} == expected
+
+
 def test_sample_zscores(spark):
     got = _by_id(with_spending_signal(sample_projects(spark)), "spending_zscore")
     for key, expected in SAMPLE_RESULTS.items():

@@ -3,13 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import projects, sample_projects, similar_by_brute_force
+from fixtures import list_pairs, projects, sample_projects, similar_by_brute_force
 from worksight.functions.text import STOP_WORDS, word_tokens
 from worksight.operators import keyed_join, similarity
 from worksight.operators.similarity import (
     copy_groups,
     find_similar_works,
-    list_pairs,
     pair_count,
     pair_signals,
     project_signals,
@@ -89,7 +88,7 @@ def _frame(spark, rows, partitions=3):
 
 SETTINGS = {
     "defaults": {},
-    "split": {"CELL_WORKS": 3, "BROADCAST_ROWS": 0, "HOT_KEYS": 4},
+    "split": {"CELL_WORKS": 3, "BROADCAST_ROWS": 0, "TASK_ROWS": 2},
 }
 
 

@@ -1,8 +1,10 @@
 import math
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtures import projects, sample_projects
 from worksight.functions.display import first_of, flag_reasons, location_text, shown_reasons
@@ -38,7 +40,7 @@ def test_csv_cells(spark, tmp_path):
     with pytest.raises(Exception, match="not a whole number"):
         tables.read_csv(spark, str(path)).collect()
     path.write_text("project_id,category\nP1,Road\n")
-    with pytest.raises(ValueError, match="missing columns"):
+    with pytest.raises(ValueError, match="lacks"):
         tables.read_csv(spark, str(path))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_csv(spark, str(tmp_path / "absent.csv"))
@@ -54,6 +56,38 @@ def test_signal_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("P1", 100.0, 2, True), ("P2", 81.5, 1, True)]
 
 
+def test_whole_numbers_of_any_size(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    big = (1 << 53) + 1
+    lines = ["n,d", f"{big},1.5", "-7.0,2", "1e3,n/a", ",3"]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    schema = T.StructType().add("n", "long").add("d", "integer")
+    got = tables.read_csv(spark, path, schema, doubles=["d"]).collect()
+    assert {tuple(r) for r in got} == {(big, 1.5), (-7, 2.0), (1000, None), (None, 3.0)}
+    with pytest.raises(Exception, match="not a whole number"):
+        tables.read_csv(spark, path, schema).collect()
+    for cell in ("2.7", "9007199254740993.0"):
+        spark.createDataFrame([("n,d",), (f"{cell},1",)], "value string").coalesce(1).write.mode(
+            "overwrite"
+        ).text(path)
+        with pytest.raises(Exception, match="not a whole number"):
+            tables.read_csv(spark, path, schema).collect()
+
+
+def test_risk_table_has_few_files(spark, tmp_path):
+    """Rows of a level come together, from however many tasks; the id has a Bloom filter."""
+    path = str(tmp_path / "risk")
+    rows = [(f"p{i}", "Road", ("Low", "Medium", "High")[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "project_id string, category string, risk_level string")
+    tables.write_risk_table(df.repartition(40), path)
+    for level in ("Low", "Medium", "High"):
+        files = list((tmp_path / "risk" / f"risk_level={level}").glob("*.parquet"))
+        assert 1 <= len(files) <= 2
+        meta = pq.ParquetFile(files[0]).metadata
+        assert meta.num_rows + sum(pq.ParquetFile(f).metadata.num_rows for f in files[1:]) == 200
+    assert spark.read.parquet(path).where("project_id_key = 'P42'").count() == 1
+
+
 def test_nan_is_read_as_null(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_table(projects(spark, {"expenditure_lakh": math.nan}), path)

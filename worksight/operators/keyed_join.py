@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A table up to these bounds is broadcast whole ...
+# A table up to these bounds, over all columns that are sent, is broadcast whole.
 BROADCAST_ROWS = 100_000
-BROADCAST_KEY_BYTES = 16 * 1024 * 1024
-# ... of a larger one only this many rows, those of the heaviest keys.
-HOT_KEYS = 1_000
+BROADCAST_BYTES = 16 * 1024 * 1024
+# A key with more rows than this is spread over as many tasks as it needs ...
+TASK_ROWS = 1_000_000
+# ... but at most this many keys are; what is left is for Spark's skew join.
+HOT_KEYS = 10_000
 SPREAD = 1 << 16
 
 
-def fits_broadcast(table: DataFrame, keys: Sequence[str]) -> bool:
-    """Measured size of the table against the bounds (one small job)."""
-    key_bytes = sum(F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys)
-    size = table.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(key_bytes), F.lit(0)).alias("bytes")
+def fits_broadcast(table: DataFrame) -> bool:
+    """Measured size of the table, all its columns, against the bounds (one small job)."""
+    flat = table.select(F.to_json(F.struct(*table.columns)).alias("row"))
+    size = flat.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.octet_length("row")), F.lit(0)).alias("bytes"),
     ).first()
-    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_KEY_BYTES
+    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
 
 
 def attach(
@@ -39,32 +42,31 @@ def attach(
 
     ``table`` holds one row per key and should be stored, as it is read more than
     once; ``weight`` is its column with the number of rows a key has. When the table
-    is too large to broadcast, the rows of its heaviest keys are served by a broadcast
-    of those ``HOT_KEYS`` table rows. They go through the shuffle of the remaining keys
-    under a spread-out salt that matches nothing, so no task receives a hot key; a key
-    outside the list has at most 1/HOT_KEYS of all rows.
+    is too large to broadcast, a key of more than ``TASK_ROWS`` rows is cut into that many
+    parts: its table row is repeated for each part, and each of ``rows`` falls into one by
+    ``spread_by``. The join stays a plain one, so an inner join can drop rows before the
+    shuffle by a Bloom filter of the keys.
     """
     keys = list(keys)
-    if fits_broadcast(table, keys) if small is None else small:
+    if fits_broadcast(table) if small is None else small:
         return rows.join(F.broadcast(table), keys, how)
 
     values = [c for c in table.columns if c not in keys]
-    hot = table.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
-    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
-    cold = table.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
-
-    settled = F.col("_hot").isNotNull()
+    parts = F.ceil(F.col(weight) / TASK_ROWS).cast("int").alias("_parts")
+    hot = table.where(F.col(weight) > TASK_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    hot = hot.select(*keys, parts)
+    spread = F.xxhash64(spread_by)
+    missing = F.lit(False)
     for key in keys:
-        settled = settled | F.col(key).isNull()
-    salt = F.when(settled, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1)
-    found = F.coalesce("_hot", "_cold")
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
-        .join(cold, [*keys, "_salt"], "left")
-    )
-    if how == "inner":
-        joined = joined.where(found.isNotNull())
-    return joined.select(
-        *(F.col(c) for c in rows.columns), *(found[v].alias(v) for v in values)
+        missing = missing | F.col(key).isNull()
+    part = F.pmod(spread, F.coalesce("_parts", F.lit(1)).cast("bigint"))
+    if how == "left":  # a missing key matches nothing and may lie anywhere
+        part = F.when(missing, -1 - F.pmod(spread, F.lit(SPREAD))).otherwise(part)
+    cut = (
+        table.join(F.broadcast(hot), keys, "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        .withColumn("_part", F.col("_part").cast("bigint"))
+        .select(*keys, "_part", *values)
     )
+    placed = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part)
+    return placed.join(cut, [*keys, "_part"], how).select(*rows.columns, *values)

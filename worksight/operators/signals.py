@@ -9,7 +9,6 @@ from worksight.config import DEFAULT, ScreeningConfig
 from worksight.functions.numeric import is_true, no_nan, ratio_pct
 from worksight.operators.keyed_join import attach
 from worksight.sources.schema import SPENDING_COLUMNS, require_columns
-from worksight.sources.scratch import stored
 
 
 def _number(name: str) -> Column:
@@ -76,20 +75,27 @@ def category_spending(projects: DataFrame) -> DataFrame:
 
 
 def with_spending_signal(
-    projects: DataFrame, config: ScreeningConfig = DEFAULT
+    projects: DataFrame,
+    config: ScreeningConfig = DEFAULT,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Category mean, deviation and z-score of spending beside each project.
 
-    No category, one project or no variation give a missing z-score and no flag.
+    No category, one project or no variation give a missing z-score and no flag. Nothing
+    runs while the plan is built: the few categories are grouped and joined back. For very
+    many categories pass ``stats``, a stored ``category_spending``, whose hot categories
+    are then spread.
     """
     require_columns(projects, ["project_id", "category", "expenditure_lakh"], "Table")
-    stats = stored(category_spending(projects), "category-spending")
     mean = F.col("category_avg_expenditure_lakh")
     deviation = F.nullif(F.col("category_std_expenditure_lakh"), F.lit(0.0))
     z_score = (_number("expenditure_lakh") - mean) / deviation
+    if stats is None:
+        beside = projects.join(category_spending(projects), "category", "left")
+    else:
+        beside = attach(projects, stats, ["category"], "category_rows", spread_by="project_id")
     return (
-        attach(projects, stats, ["category"], "category_rows", spread_by="project_id")
-        .withColumn("spending_zscore", z_score)
+        beside.withColumn("spending_zscore", z_score)
         .withColumn(
             "spending_anomaly", is_true(F.col("spending_zscore") >= config.zscore_flag)
         )

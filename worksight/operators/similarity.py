@@ -268,21 +268,46 @@ def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     ).distinct()
 
 
+def _dot(left: Column, right: Column) -> Column:
+    """Dot product of two vectors given as arrays of (term, weight).
+
+    Sorted together, a term that both have stands twice in a row.
+    """
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum"))
+
+    def add(so_far: Column, entry: Column) -> Column:
+        product = so_far["weight"] * entry["weight"]
+        return F.struct(
+            entry["term"].alias("term"),
+            entry["weight"].alias("weight"),
+            (so_far["sum"] + F.when(so_far["term"] == entry["term"], product).otherwise(0.0)).alias("sum"),
+        )
+
+    merged = F.sort_array(F.concat(left, right))
+    return F.aggregate(merged, start, add, lambda end: end["sum"])
+
+
 def _verified(candidates: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Candidates with the cosine of their whole vectors, if it reaches the threshold."""
-    wanted = candidates.select(
-        F.explode(F.array("short", "long")).alias("work_id")
-    ).distinct()
-    needed = vectors.select("work_id", "term", "weight").join(
-        wanted, "work_id", "left_semi"
-    )
-    of_short = needed.toDF("short", "term", "x")
-    of_long = needed.toDF("long", "term", "y")
+    """Candidates with the cosine of their whole vectors, if it reaches the threshold.
+
+    Each work in question becomes one row with its vector, and a candidate meets the two
+    rows; a work of very many candidates is spread over several tasks on either side.
+    """
+    ends = candidates.select(F.explode(F.array("short", "long")).alias("work_id"))
+    wanted = ends.groupBy("work_id").agg(F.count("*").alias("n_candidates"))
+    whole = stored(
+        vectors.select("work_id", F.struct("term", "weight").alias("entry"))
+        .join(wanted, "work_id")
+        .groupBy("work_id", "n_candidates")
+        .agg(F.collect_list("entry").alias("vector")),
+        "candidate-vectors",
+    )
+    of_short = whole.toDF("short", "n_short", "x")
+    of_long = whole.toDF("long", "n_long", "y")
+    beside = attach(candidates, of_short, ["short"], "n_short", "long", "inner", small=False)
+    beside = attach(beside, of_long, ["long"], "n_long", "short", "inner", small=False)
     return (
-        candidates.join(of_short, "short")
-        .join(of_long, ["term", "long"])
-        .groupBy("short", "long")
-        .agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+        beside.select("short", "long", _dot(F.col("x"), F.col("y")).alias("cosine"))
         .where(F.col("cosine") >= threshold)
     )
 
@@ -541,72 +566,6 @@ def top_pairs(
     )
 
 
-def list_pairs(
-    similar: SimilarWorks,
-    projects: DataFrame,
-    *,
-    id_col: str = "project_id",
-    text_col: str = "work_description",
-) -> DataFrame:
-    """Every similar project pair as a row, in report order, as a flat pair table.
-
-    The table has ``pair_count`` rows, quadratic in the size of a group of copies; all
-    other results are made without it. Large works are cut into blocks, so that one
-    task joins at most a block with a block.
-    """
-    pairs, works = similar.pairs, similar.works
-
-    def blocks(n: str) -> Column:
-        return F.ceil(F.col(n) / CELL_WORKS).cast("int")
-
-    entries = pairs.select(
-        "category", "similarity_pct", "work_1", "work_2",
-        blocks("n_1").alias("blocks_1"), blocks("n_2").alias("blocks_2"),
-    ).unionByName(
-        works.where(F.col("n_projects") > 1).select(
-            "category", F.lit(100.0).alias("similarity_pct"),
-            F.col("work_id").alias("work_1"), F.col("work_id").alias("work_2"),
-            blocks("n_projects").alias("blocks_1"),
-            blocks("n_projects").alias("blocks_2"),
-        )
-    )
-    same = F.col("work_1") == F.col("work_2")
-    cells = entries.withColumn(
-        "block_1", F.explode(F.sequence(F.lit(0), F.col("blocks_1") - 1))
-    ).withColumn(
-        "block_2",
-        F.explode(
-            F.sequence(F.when(same, F.col("block_1")).otherwise(0), F.col("blocks_2") - 1)
-        ),
-    )
-    partnered = entries.select(F.explode(F.array("work_1", "work_2")).alias("work_id"))
-    needed = stored(
-        works.join(partnered.distinct(), "work_id").select(
-            "category", "words_key", "work_id", "n_projects"
-        ),
-        "paired-works",
-    )
-    members = _work_members(similar, needed).select(
-        "work_id",
-        F.pmod(F.xxhash64("project_id"), blocks("n_projects")).cast("int").alias("block"),
-        F.struct("seq", "project_id").alias("member"),
-    )
-    p = members.toDF("work_1", "block_1", "p")
-    q = members.toDF("work_2", "block_2", "q")
-    met = (
-        cells.join(p, ["work_1", "block_1"])
-        .join(q, ["work_2", "block_2"])
-        .where(
-            ~same | (F.col("block_1") < F.col("block_2")) | (F.col("p") < F.col("q"))
-        )
-    )
-    return (
-        _described(_oriented_pairs(met), projects, id_col, text_col)
-        .orderBy(*_report_order())
-        .drop("seq_1", "seq_2")
-    )
-
-
 def pair_signals(pairs: DataFrame) -> DataFrame:
     """The same signals from an explicit table of project pairs."""
     ends = pairs.select(

@@ -36,7 +36,7 @@ def canonical_level(level: str) -> str:
     """The level's usual spelling, matched without regard to case."""
     by_lower = {known.lower(): known for known in RISK_LEVELS}
     if level.lower() not in by_lower:
-        raise ValueError("risk_level must be Low, Medium, or High")
+        raise ValueError(f"unknown level {level!r}, use one of {RISK_LEVELS}")
     return by_lower[level.lower()]
 
 
@@ -74,7 +74,7 @@ def project_row(risk: DataFrame, project_id: str) -> dict:
     """The project as a dict; LookupError when there is none."""
     row = project(risk, project_id).first()
     if row is None:
-        raise LookupError(f"Project '{project_id}' not found")
+        raise LookupError(f"no project has the id {project_id!r}")
     return row.asDict()
 
 

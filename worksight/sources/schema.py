@@ -95,7 +95,7 @@ def require_columns(df: DataFrame, names: Sequence[str], what: str) -> DataFrame
     """The frame itself, or a ValueError that names every missing column."""
     missing = [name for name in names if name not in df.columns]
     if missing:
-        raise ValueError(f"{what} is missing columns: {missing}")
+        raise ValueError(f"{what} lacks {missing}")
     return df
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,22 +22,29 @@ CATEGORY_KEY = "category_key"
 ID_KEY = "project_id_key"
 
 
-def _whole_number(text: Column) -> Column:
-    """Text such as ``180`` or ``180.0`` as int; a fraction of a day is an error, not lost."""
+def _whole_number(text: Column, kind: str) -> Column:
+    """Text such as ``180`` or ``180.0`` as a whole number; a fraction is an error, not lost.
+
+    Digits are read as they stand, so large numbers keep their last one; other spellings
+    must be exact as a double.
+    """
     number = text.cast("double")
-    problem = F.concat(F.lit("not a whole number: "), text)
-    return F.when(number == F.floor(number), number.cast("int")).when(
-        number.isNotNull(), F.raise_error(problem).cast("int")
+    exact = (number == F.floor(number)) & (F.abs(number) < float(1 << 53))
+    problem = F.concat(F.lit(f"not a whole number ({kind}): "), text)
+    return (
+        F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.cast(kind))
+        .when(exact, number.cast("bigint").cast(kind))
+        .when(number.isNotNull(), F.raise_error(problem).cast(kind))
     )
 
 
-def _typed_cell(field: T.StructField) -> Column:
+def _typed_cell(field: T.StructField, as_double: bool) -> Column:
     text = F.col(field.name)
     present = F.when(~text.isin(MISSING_CELLS), text)
-    if isinstance(field.dataType, T.IntegerType):
-        return _whole_number(present).alias(field.name)
-    if isinstance(field.dataType, T.LongType):
-        return present.cast("double").cast("long").alias(field.name)
+    if as_double:
+        return present.cast("double").alias(field.name)
+    if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+        return _whole_number(present, field.dataType.simpleString()).alias(field.name)
     return present.cast(field.dataType).alias(field.name)
 
 
@@ -45,9 +54,13 @@ def read_csv(
     schema: T.StructType = PROJECT_SCHEMA,
     with_row_seq: bool = False,
     multi_line: bool = False,
+    doubles: Collection[str] = (),
 ) -> DataFrame:
     """CSV with a header, cells typed by ``schema`` and matched to it by header name.
 
+    ``doubles`` names whole-number columns to read as double, for tables with fractional
+    days; a fraction is an error elsewhere.
+
     ``with_row_seq`` adds ``row_seq``, increasing in file order, for a single file.
     ``multi_line`` accepts line breaks inside quoted cells; Spark then cannot split a
     file, so large inputs of that kind should come as many files.
@@ -56,7 +69,7 @@ def read_csv(
         path, header=True, quote='"', escape='"', multiLine=multi_line, nullValue=""
     )
     require_columns(cells, schema.names, f"Table at {path}")
-    typed = [_typed_cell(field) for field in schema]
+    typed = [_typed_cell(field, field.name in doubles) for field in schema]
     if with_row_seq:
         typed.append(F.monotonically_increasing_id().alias("row_seq"))
     return cells.select(*typed)
@@ -87,14 +100,17 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_risk_table(risk: DataFrame, path: str) -> None:
     """Risk table partitioned by level, each file ordered by id, for the read queries.
 
-    No shuffle: the order within a file is enough for the column index to skip all
-    pages but one on a lookup.
+    The rows of a level are brought together before the write, in files of Spark's advisory
+    size, however many tasks made them. Within a file the order lets the column index skip
+    all pages but one on a lookup, and a Bloom filter on the id skips the other files.
     """
     (
         risk.withColumn(CATEGORY_KEY, F.lower("category"))
         .withColumn(ID_KEY, F.upper("project_id"))
+        .hint("rebalance", F.col("risk_level"))
         .sortWithinPartitions("risk_level", ID_KEY)
         .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{ID_KEY}", "true")
         .partitionBy("risk_level")
         .parquet(path)
     )

@@ -142,6 +142,16 @@ def test_quantiles_of_many_spans_and_hot_values(spark):
     assert len(got) == 4
 
 
+def test_quantiles_of_few_values(spark):
+    for n in range(1, 12):
+        values = [float((7 * i) % n - (i % 3)) for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)
+        stats = {str(q): q for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)}
+        got = {r.stat: r.value for r in profile.exact_quantiles(df, ["x"], stats).collect()}
+        expected = pd.Series(values)
+        assert got == {s: pytest.approx(expected.quantile(q)) for s, q in stats.items()}
+
+
 def test_shape_and_head(spark):
     df = sample_projects(spark)
     row = profile.shape(df).first()

@@ -43,6 +43,7 @@ from worksight.sources.scratch import new_table_path, stored
 
 BLOCK_BYTES = 4 << 20  # of text in a block; a longer text is a block of its own
 BUCKET_BYTES = 16 << 20  # of text for each bucket of ranks
+KEPT_BYTES = 16 << 20  # text of a block up to which its strings' anchors are kept, 8 bytes each
 CHUNK = 1 << 18  # positions that are hashed in one go
 GRAM = 16
 STEPS = 4
@@ -158,7 +159,7 @@ class Block:
             for at in range(start, last + 1, CHUNK):
                 yield at, min(at + CHUNK, last + 1) + self.threshold - 1
 
-    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _anchored_strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of all strings of the threshold's length, and of their anchors."""
         group: list[tuple[int, int]] = []
         size = 0
@@ -187,15 +188,25 @@ class Block:
         return at + move, anchors + move
 
     def _anchors(self) -> None:
-        found = []
-        for _, anchors in self.strings():
+        found, kept = [], []
+        for at, anchors in self._anchored_strings():
             new = np.ones(len(anchors), bool)
             new[1:] = anchors[1:] != anchors[:-1]
             found.append(anchors[new])
+            if len(self.data) <= KEPT_BYTES:
+                kept.append((at.astype(np.int32), anchors.astype(np.int32)))
         self.at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         self.row = np.searchsorted(self.ends, self.at, side="right")
         self.doc = self.doc_of_row[self.row]
         self.hash = _hashes_at(self.data, self.at)
+        self.kept = kept
+
+    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of all strings of the threshold's length, and numbers of their anchors."""
+        number = np.zeros(len(self.data), np.int32)
+        number[self.at] = np.arange(len(self.at))
+        for at, anchors in self.kept or self._anchored_strings():
+            yield at, number[anchors]
 
     # --- the steps: ranks to send, and what an answer to them means -------------------
 
@@ -266,9 +277,11 @@ class Block:
         open.
         """
         settled = np.concatenate(([0], np.cumsum(self.removed)))
-        for at, anchor_at in self.strings():
-            anchor = np.searchsorted(self.at, anchor_at)
-            to_right = at + self.threshold - anchor_at - GRAM >= self.half
+        either = self.right_shared | self.left_shared
+        for at, anchor in self.strings():
+            some = np.flatnonzero(either[anchor])
+            at, anchor = at[some].astype(np.int64), anchor[some]
+            to_right = at + self.threshold - self.at[anchor] - GRAM >= self.half
             shared = np.where(to_right, self.right_shared[anchor], self.left_shared[anchor])
             earlier = np.where(to_right, self.right_earlier[anchor], self.left_earlier[anchor])
             left_over = settled[at + self.threshold] - settled[at] < self.threshold

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.numeric import no_nan, round_scaled
-from worksight.sources.scratch import stored
 
 # Profiled columns and quantiles.
 PROFILE_COLUMNS = [
@@ -20,6 +19,8 @@ PROFILE_COLUMNS = [
     "planned_duration_days",
     "elapsed_days",
 ]
+# An approximate quantile may be off by one in so many ranks.
+ACCURACY = 10_000
 QUARTILES = {"25%": 0.25, "50%": 0.50, "75%": 0.75}
 
 
@@ -36,11 +37,29 @@ def head(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
-def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    numbers = df.select(*(no_nan(F.col(c)).alias(c) for c in columns))
-    return numbers.unpivot([], list(columns), "metric", "value").where(
-        F.col("value").isNotNull()
-    )
+def _brackets(
+    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]
+) -> list[tuple[str, str, float, float, float, int]]:
+    """metric, stat, quantile, lower and upper end, count: one small row from one pass.
+
+    An approximate quantile is off by n / ACCURACY ranks at most, so the ends lie around
+    the exact one, or one rank beside it in a small column.
+    """
+    margin = 2 / ACCURACY
+    shares = [
+        share for q in quantiles.values() for share in (max(0.0, q - margin), min(1.0, q + margin))
+    ]
+    numbers = {c: no_nan(F.col(c)).cast("double") for c in columns}
+    row = df.agg(
+        *(F.percentile_approx(x, shares, ACCURACY).alias(f"ends {c}") for c, x in numbers.items()),
+        *(F.count(x).alias(f"n {c}") for c, x in numbers.items()),
+    ).first()
+    return [
+        (c, stat, q, row[f"ends {c}"][2 * k], row[f"ends {c}"][2 * k + 1], row[f"n {c}"])
+        for c in columns
+        if row[f"n {c}"]
+        for k, (stat, q) in enumerate(quantiles.items())
+    ]
 
 
 def exact_quantiles(
@@ -48,57 +67,59 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear between neighbours): metric, stat, value.
 
-    Equal values are merged first and the rest is range-partitioned, so each task ranks
-    one span of values; only one count per span and metric is accumulated in order. No
-    task holds a whole column, which the built-in ``percentile`` would do.
+    One pass brackets each quantile by approximate ones. A second one counts what lies
+    below a bracket, and only the few values inside it are grouped and ranked, so neither a
+    shuffle nor a task holds a whole column, as the built-in ``percentile`` would.
     """
-    counted = _unpivoted(df, columns).groupBy("metric", "value").agg(F.count("*").alias("n"))
-    spans = stored(
-        counted.repartitionByRange("metric", "value").withColumn(
-            "span", F.spark_partition_id()
-        ),
-        "value-spans",
-    )
-    in_order = W.partitionBy("metric").orderBy("span")
-    before = in_order.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("metric")
-    totals = (
-        spans.groupBy("metric", "span")
-        .agg(F.sum("n").alias("in_span"))
-        .withColumn("before", F.coalesce(F.sum("in_span").over(before), F.lit(0)))
-        .withColumn("total", F.sum("in_span").over(whole))
-    )
-    stats = F.array(
-        *(
-            F.struct(F.lit(name).alias("stat"), F.lit(q).alias("q"))
-            for name, q in quantiles.items()
+    brackets = _brackets(df, columns, quantiles)
+    if not brackets:
+        return df.sparkSession.createDataFrame([], "metric string, stat string, value double")
+    numbers = {c: no_nan(F.col(c)).cast("double") for c in columns}
+    below, inside = [], []
+    for k, (c, _, _, low, high, _) in enumerate(brackets):
+        x = numbers[c]
+        below += [
+            F.count(F.when(x < low, x)).alias(f"below {k}"),
+            F.max(F.when(x < low, x)).alias(f"before {k}"),
+            F.min(F.when(x > high, x)).alias(f"behind {k}"),
+        ]
+        inside.append(F.when((x >= low) & (x <= high), F.struct(F.lit(k).alias("k"), x.alias("value"))))
+    facts = [
+        F.struct(
+            F.lit(k).alias("k"),
+            F.lit(c).alias("metric"),
+            F.lit(stat).alias("stat"),
+            F.lit(q * (n - 1)).alias("at"),
+            *(F.col(f"`{name} {k}`").alias(name) for name in ("below", "before", "behind")),
         )
+        for k, (c, stat, q, _, _, n) in enumerate(brackets)
+    ]
+    around = df.agg(*below).select(F.inline(F.array(*facts)))
+    counted = (
+        df.select(F.explode(F.filter(F.array(*inside), lambda hit: hit.isNotNull())).alias("hit"))
+        .groupBy("hit.k", "hit.value")
+        .agg(F.count("*").alias("n"))
     )
-    # the two neighbouring ranks of each quantile, and the span that holds them
-    targets = (
-        totals.select("metric", "span", "before", "in_span", "total", F.inline(stats))
-        .withColumn("at", F.col("q") * (F.col("total") - 1))
-        .withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at"))))
-        .where(
-            (F.col("rank") >= F.col("before"))
-            & (F.col("rank") < F.col("before") + F.col("in_span"))
-        )
-        .groupBy("metric", "span", "before")
-        .agg(F.collect_list(F.struct("stat", "at", "rank")).alias("targets"))
+    up_to = W.partitionBy("k").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = (
+        counted.withColumn("end", F.sum("n").over(up_to))
+        .join(F.broadcast(around), "k")  # one row for each metric and quantile
+        .withColumn("end", F.col("end") + F.col("below"))
+    )
+
+    def at_rank(rank: Column) -> Column:
+        held = (rank >= F.col("end") - F.col("n")) & (rank < F.col("end"))
+        return F.max(F.when(held, F.col("value")))
+
+    share = F.col("at") - F.floor("at")
+    lower = F.coalesce(at_rank(F.floor("at")), F.any_value("before"))
+    upper = F.coalesce(at_rank(F.ceil("at")), F.any_value("behind"))
+    found = ranked.groupBy("metric", "stat", "at").agg(
+        lower.alias("lower"), upper.alias("upper")
     )
-    by_value = W.partitionBy("metric", "span").orderBy("value")
-    up_to = by_value.rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.col("before") + F.sum("n").over(up_to)
-    found = (
-        # at most two spans per metric and quantile
-        spans.join(F.broadcast(targets), ["metric", "span"])
-        .select("metric", "value", "n", "targets", end.alias("end"))
-        .select("metric", "value", "n", "end", F.inline("targets"))
-        .where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
+    return found.select(
+        "metric", "stat", (F.col("lower") + (F.col("upper") - F.col("lower")) * share).alias("value")
     )
-    low, high = F.min("value"), F.max("value")
-    share = F.max(F.col("at") - F.floor("at"))
-    return found.groupBy("metric", "stat").agg((low + (high - low) * share).alias("value"))
 
 
 def numeric_profile(

@@ -10,8 +10,10 @@ signatures, and the similarity is confirmed on the full sets.
 
 Lists of many documents are not expanded into all pairs. First each document is compared
 with two hubs of each of its lists, and linked documents are joined into components. Then
-only pairs of one list that are still in different components are compared, in blocks.
-Neither step leaves out a pair that could join two components.
+the lists that still hold several components are compared in blocks, on longer sketches;
+what comes out is only which components belong to one family, as a forest. Within a family
+the full sets are compared, block by block, and again only links that join components come
+out. No step leaves out a pair that could join two components.
 """
 
 from __future__ import annotations
@@ -32,11 +34,16 @@ COORDINATES = 40
 # Standard deviations by which the match threshold lies below the expected number of equal
 # coordinates at the wanted similarity; about one pair in 10**5 at that similarity has fewer.
 MARGIN = 4.6
-BLOCK = 256  # documents of one list that are compared with one another in one go
+# Coordinates of the longer sketches, of 16 bits each, on which candidates are counted.
+SKETCHED = 192
+SKETCH_MARGIN = 4.0
+BLOCK = 1_024  # documents of one list that are compared with one another in one go
+FAMILY_BLOCK = 512  # ... and of one family, on their full sets
+COLUMNS = 4_096  # shingles that a comparison of full sets lays out at once
 CACHED_WORDS = 600_000
 _U64 = np.uint64
 _random = np.random.default_rng(2024)
-_FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * _U64(2) + _U64(1)
+_FACTORS = _random.integers(1, 1 << 63, SKETCHED, dtype=np.uint64) * _U64(2) + _U64(1)
 _MIX = _U64(0x9E3779B97F4A7C15)
 
 
@@ -67,45 +74,53 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each of COORDINATES hashes over the set, as 32 bits."""
-    out = np.empty(COORDINATES, np.uint64)
-    for k in range(COORDINATES):
+def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """The smallest value of each of SKETCHED hashes over the set.
+
+    The first COORDINATES with 32 bits, and all of them with 16.
+    """
+    out = np.empty(SKETCHED, np.uint64)
+    for k in range(SKETCHED):
         out[k] = (shingles * _FACTORS[k]).min()
-    return (out >> _U64(32)).astype(np.uint32)
+    out >>= _U64(32)
+    return out[:COORDINATES].astype(np.uint32).tobytes(), out.astype(np.uint16).tobytes()
 
 
-def match_threshold(percent: int) -> int:
+def match_threshold(percent: int, coordinates: int = COORDINATES, margin: float = MARGIN) -> int:
     """Equal coordinates that a pair needs to be a candidate at this similarity."""
     share = percent / 100
-    spread = (COORDINATES * share * (1 - share)) ** 0.5
-    return max(1, int(COORDINATES * share - MARGIN * spread))
+    spread = (coordinates * share * (1 - share)) ** 0.5
+    return max(1, int(coordinates * share - margin * spread))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """id, n_shingles, set_key (128 bits that tell equal sets) and signature of each row."""
+    """id, n_shingles, set_key (128 bits that tell equal sets), signature, sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, width)
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                signs.append(signature(shingles).tobytes() if len(shingles) else None)
+                sign, sketch = signature(shingles) if len(shingles) else (None, None)
+                signs.append(sign)
+                sketches.append(sketch)
             columns = [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.binary()),
                 pa.array(signs, pa.binary()),
+                pa.array(sketches, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(
-                columns, names=["id", "n_shingles", "set_key", "signature"]
+                columns, names=["id", "n_shingles", "set_key", "signature", "sketch"]
             )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
-        sign, f"id {kind}, n_shingles bigint, set_key binary, signature binary"
+        sign,
+        f"id {kind}, n_shingles bigint, set_key binary, signature binary, sketch binary",
     )
 
 
@@ -135,36 +150,37 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     )
 
 
-def _matching(pairs: DataFrame, signs: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b) with at least ``matches`` equal coordinates."""
+def _sketches(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    data = np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16)
+    return data.reshape(batch.num_rows, SKETCHED)
+
+
+def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be similar by their sizes and the matches of their sketches."""
+    enough = match_threshold(percent, SKETCHED, SKETCH_MARGIN)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sides = [
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(
-                        batch.num_rows, COORDINATES
-                    )
-                    for c in ("sign_a", "sign_b")
-                ]
-                keep = (sides[0] == sides[1]).sum(1) >= matches
+                keep = (_sketches(batch, "sketch_a") == _sketches(batch, "sketch_b")).sum(1) >= enough
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(
-        signs.select(F.col("id").alias("a"), F.col("signature").alias("sign_a")), "a"
-    ).join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sign_b")), "b")
-    return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(count, f"a {kind}, b {kind}")
+    left, right = (
+        classes.select(
+            F.col("id").alias(side),
+            F.col("n_shingles").alias(f"n_{side}"),
+            F.col("sketch").alias(f"sketch_{side}"),
+        )
+        for side in ("a", "b")
+    )
+    joined = pairs.join(left, "a").join(right, "b")
+    sized = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(count, f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets have 100 * intersection >= percent * union.
-
-    The texts of the documents in question are joined in once and become sets; a pair then
-    meets the two sets.
-    """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(named, "id", "left_semi")
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, shingles: the full sets of the wanted ids, stored."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -173,6 +189,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 [batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"]
             )
 
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.join(wanted, "id", "left_semi").mapInArrow(to_sets, f"id {kind}, shingles binary")
+    return stored(found.distinct(), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets have 100 * intersection >= percent * union.
+
+    The texts of the documents in question are joined in once and become sets; a pair then
+    meets the two sets.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, rows=4_000):
             keep = []
@@ -189,7 +218,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    sets = stored(texts.mapInArrow(to_sets, f"id {kind}, shingles binary"), "shingle-sets")
+    sets = _sets(docs, named, width)
     joined = pairs.join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a"
     ).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -211,75 +240,150 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(
-    postings: DataFrame, linked: DataFrame, signs: DataFrame, matches: int
-) -> DataFrame:
-    """Pairs of one list in different components with enough equal coordinates.
+def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` beside low, high and mine: every pair of blocks of a key is a group of its own.
+
+    A key has blocks of about ``size`` rows, so no group grows with its key. ``rows`` has
+    the columns key, id and n, the rows of its key.
+    """
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    mine = F.pmod(F.xxhash64("id", key), blocks.cast("bigint")).cast("int")
+    placed = rows.withColumn("mine", mine).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    return placed.withColumn("low", F.least("mine", "other")).withColumn(
+        "high", F.greatest("mine", "other")
+    )
+
 
-    Lists within one component need no comparison. The others are cut into blocks of about
-    BLOCK documents; each pair of blocks is one group, so no group grows with its list.
+def _forest(labels: np.ndarray, blocks: np.ndarray, close) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join what bears different labels; ``close(i)`` tells who is near i.
+
+    Pairs within one block are left to the group of that block alone.
     """
+    labels = labels.copy()
+    one_block = bool((blocks == blocks[0]).all())
+    for i in range(len(labels) - 1):
+        wanted = labels != labels[i]
+        if not one_block:
+            wanted &= blocks != blocks[i]
+        wanted[: i + 1] = False
+        if not wanted.any():
+            continue
+        for j in np.flatnonzero(wanted)[close(i, np.flatnonzero(wanted))].tolist():
+            if labels[j] != labels[i]:
+                yield i, j
+                labels[labels == labels[j]] = labels[i]
+
+
+def _local(column: pa.Array) -> np.ndarray:
+    """Small numbers for the distinct values of a column."""
+    return column.dictionary_encode().indices.to_numpy()
+
+
+def _families(
+    postings: DataFrame, linked: DataFrame, classes: DataFrame, percent: int
+) -> DataFrame:
+    """Components (a, b) of which some documents of one list may be similar, as a forest."""
+    enough = match_threshold(percent, SKETCHED, SKETCH_MARGIN)
     placed = postings.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     lists = placed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    lists = lists.where("low < high").select(
-        "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    )
-    mine = F.pmod(F.xxhash64("id", "key"), F.col("blocks").cast("bigint")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = (
-        placed.join(lists, "key")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(others))
-        .select(
-            "key",
-            F.least("mine", "other").alias("low"),
-            F.greatest("mine", "other").alias("high"),
-            "mine",
-            "id",
-            "component",
-        )
-        .join(signs.select("id", "signature"), "id")
-        .select("key", "low", "high", "mine", "id", "component", "signature")
-    )
+    lists = lists.where("low < high").select("key", "n")
+    facts = classes.select("id", "n_shingles", "sketch")
+    rows = _blocked(placed.join(lists, "key"), "key", BLOCK).join(facts, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "low", "high"]):
-            ids = group.column("id")
-            mine = group.column("mine").to_numpy()
-            places = {}
-            component = np.fromiter(
-                (places.setdefault(c, len(places)) for c in group.column("component").to_pylist()),
-                np.int64,
-                group.num_rows,
-            )
-            signs = np.frombuffer(
-                b"".join(group.column("signature").to_pylist()), np.uint32
-            ).reshape(group.num_rows, COORDINATES)
-            lefts, rights = [], []
-            inner = group.column("low")[0].as_py() == group.column("high")[0].as_py()
-            for i in range(group.num_rows - 1):
-                wanted = component[i + 1 :] != component[i]
-                if not inner:
-                    wanted &= mine[i + 1 :] != mine[i]
-                if not wanted.any():
-                    continue
-                at = np.flatnonzero(wanted) + i + 1
-                at = at[(signs[at] == signs[i]).sum(1) >= matches]
-                lefts += [i] * len(at)
-                rights += at.tolist()
-            if lefts:
+            sizes, sketches = group.column("n_shingles").to_numpy(), _sketches(group, "sketch")
+
+            def close(i: int, at: np.ndarray, sizes=sizes, sketches=sketches) -> np.ndarray:
+                small = np.minimum(sizes[at], sizes[i])
+                fits = 100 * small >= percent * np.maximum(sizes[at], sizes[i])
+                fits[fits] = (sketches[at[fits]] == sketches[i]).sum(1) >= enough
+                return fits
+
+            components = group.column("component")
+            found = list(_forest(_local(components), group.column("mine").to_numpy(), close))
+            if found:
+                lefts, rights = (pa.array(side) for side in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(lefts)), ids.take(pa.array(rights))], names=["a", "b"]
+                    [components.take(lefts), components.take(rights)], names=["a", "b"]
                 )
 
     kind = postings.schema["id"].dataType.simpleString()
-    grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    found = grouped.mapInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    columns = "key low high mine id component n_shingles sketch".split()
+    grouped = rows.select(*columns).repartition("key", "low", "high")
+    grouped = grouped.sortWithinPartitions("key", "low", "high")
+    return stored(grouped.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), "families")
+
+
+def _links_in_families(
+    families: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links (a, b) between components of one family, from the full sets of its documents."""
+    family = components(families, "a", "b").select(
+        F.col("node").alias("component"), F.col("component").alias("family")
+    )
+    members = (
+        classes.select("id")
+        .join(linked.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .join(family, "component")
+        .distinct()
+    )
+    members = stored(members, "family-members")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"))
+    sets = _sets(docs, members.select("id"), width)
+    rows = _blocked(members.join(sizes, "family"), "family", FAMILY_BLOCK).join(sets, "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["family", "low", "high"]):
+            labels = _local(group.column("component"))
+            if (labels == labels[0]).all():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            both = common_shingles(sets)
+
+            def close(i: int, at: np.ndarray, sizes=sizes, both=both) -> np.ndarray:
+                common = both[i, at].astype(np.int64)
+                return 100 * common >= percent * (sizes[at] + sizes[i] - common)
+
+            ids = group.column("id")
+            found = list(_forest(labels, group.column("mine").to_numpy(), close))
+            if found:
+                lefts, rights = (pa.array(side) for side in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(lefts), ids.take(rights)], names=["a", "b"])
+
+    kind = classes.schema["id"].dataType.simpleString()
+    columns = "family low high mine id component shingles".split()
+    grouped = rows.select(*columns).repartition("family", "low", "high")
+    grouped = grouped.sortWithinPartitions("family", "low", "high")
+    return stored(grouped.mapInArrow(compare, f"a {kind}, b {kind}"), "family-links")
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, COLUMNS shingles at a time."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1  # a shingle of one set is in no intersection
+    number = np.cumsum(several) - 1
+    keep = several[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(several.sum()), COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - start] = 1
+        both += part @ part.T
+    return both
 
 
 def near_duplicates(
@@ -306,19 +410,20 @@ def near_duplicates(
     # equal sets are one class, known by its smallest id
     usable = signed.where("id is not null and n_shingles > 0")
     heads = usable.groupBy("set_key").agg(
-        F.min("id").alias("id"), F.first("signature").alias("signature")
+        F.min("id").alias("id"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch"),
     )
     classes = stored(heads, "set-classes")
-    signs = classes.select("id", "signature")
     texts = rows.where("id is not null")
-    postings = stored(_postings(signs, matches), "postings")
+    postings = stored(_postings(classes.select("id", "signature"), matches), "postings")
 
-    at_hubs = stored(_matching(_hub_pairs(postings), signs, matches).distinct(), "hub-pairs")
+    at_hubs = stored(_matching(_hub_pairs(postings), classes, percent).distinct(), "hub-pairs")
     links = _confirmed(at_hubs, texts, width, percent)
     linked = stored(components(links, "a", "b"), "linked")
-    still_open = _open_pairs(postings, linked, signs, matches)
-    still_open = still_open.join(at_hubs, ["a", "b"], "left_anti")
-    more = _confirmed(stored(still_open, "open-pairs"), texts, width, percent)
+    families = _families(postings, linked, classes, percent)
+    more = _links_in_families(families, linked, classes, texts, width, percent)
     all_links = links.unionByName(more).unionByName(_repeated_ids(usable, classes))
     reached = components(all_links, "a", "b").withColumnRenamed("node", "id")
     by_class = classes.join(reached, "id", "left").select(

@@ -375,7 +375,9 @@ def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataF
         .option("path", new_table_path(spark, "text-blocks"))
         .saveAsTable(name)
     )
-    return spark.table(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files stay where they are
+    return blocks
 
 
 _ANSWER = "struct<step:int,bucket:int,n:int,shared:binary,earlier:binary,wanted:binary>"

@@ -106,6 +106,15 @@ def test_stored_frames_are_released(spark):
     assert scratch.release(spark) == 1
 
 
+def test_some_items_are_released(spark):
+    first = scratch.stored(spark.range(3), "numbers")
+    before = scratch.kept(spark)
+    scratch.stored(spark.range(4), "more")
+    later = [x for x in scratch.kept(spark) if not any(x is item for item in before)]
+    assert len(later) == 1 and scratch.release(spark, later) == 1
+    assert first.count() == 3 and scratch.release(spark) >= 1
+
+
 def test_without_a_shared_folder_frames_are_persisted(spark, monkeypatch):
     monkeypatch.setattr(scratch, "shared_dir", lambda spark: None)
     frame = scratch.stored(spark.range(3), "numbers")

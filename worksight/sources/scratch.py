@@ -54,17 +54,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Give back everything ``stored()`` keeps for this application.
+def keep_path(spark: SparkSession, path: str) -> None:
+    """Count files under ``path`` among what ``release`` gives back."""
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def kept(spark: SparkSession) -> list:
+    """What this application keeps now; a later list holds what came after, too."""
+    return list(_kept.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, items: list | None = None) -> int:
+    """Give back everything ``stored()`` keeps for this application, or some items of it.
 
     Frames built on it can't be read any more. Returns how many were released.
     """
-    kept = _kept.pop(spark.sparkContext.applicationId, [])
+    mine = _kept.get(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for item in kept:
+    chosen = [x for x in mine if items is None or any(x is item for item in items)]
+    for item in chosen:
         if isinstance(item, str):
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(item)
             path.getFileSystem(hadoop).delete(path, True)
         else:
             item.unpersist()
-    return len(kept)
+    mine[:] = [x for x in mine if not any(x is item for item in chosen)]
+    return len(chosen)

@@ -7,13 +7,16 @@ for the next stage. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksight.llm import minhash, packing, substrings, toxicity
 from worksight.llm.common import ship_code, table
-from worksight.sources.scratch import new_table_path
+from worksight.sources import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +57,36 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+# What the latest stage of an application stored on its way.
+_on_the_way: dict[str, list] = {}
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """The stage, which first gives back what the stage before it stored on its way.
+
+    The result of that stage has been written by then; its intermediates would otherwise
+    lie beside those of all later stages.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        scratch.release(spark, _on_the_way.pop(application, []))
+        before = scratch.kept(spark)
+        result = stage(spark, docs, sf_dir)
+        _on_the_way[application] = [
+            x for x in scratch.kept(spark) if not any(x is item for item in before)
+        ]
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash_near_dedup", drop_near_copies),
-    ("suffix_array_dedup", drop_repeats),
-    ("packing", pack),
+    ("toxicity", _tidy(drop_toxic)),
+    ("minhash_near_dedup", _tidy(drop_near_copies)),
+    ("suffix_array_dedup", _tidy(drop_repeats)),
+    ("packing", _tidy(pack)),
 ]
 
 
@@ -66,7 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_table_path(spark, f"pipeline-{name}")
+        path = scratch.new_table_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

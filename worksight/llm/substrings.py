@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm.common import in_slices, text_or_empty
-from worksight.sources.scratch import new_table_path, stored
+from worksight.sources.scratch import keep_path, new_table_path, stored
 
 BLOCK_BYTES = 4 << 20  # of text in a block; a longer text is a block of its own
 BUCKET_BYTES = 16 << 20  # of text for each bucket of ranks
@@ -368,11 +368,13 @@ def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataF
         f"block bigint, ids array<{kind}>, lengths array<bigint>, data binary, "
         f"extras array<{extra}>"
     )
+    path = new_table_path(spark, "text-blocks")
+    keep_path(spark, path)
     ordered = rows.repartitionByRange(n_parts, "id").sortWithinPartitions("id", "text")
     (
         ordered.mapInArrow(cut, schema)
         .write.bucketBy(n_parts, "block")
-        .option("path", new_table_path(spark, "text-blocks"))
+        .option("path", path)
         .saveAsTable(name)
     )
     blocks = spark.table(name)

@@ -40,7 +40,7 @@ SKETCH_MARGIN = 4.0
 BLOCK = 4_096  # documents of one list that are compared with one another in one go
 FAMILY_BLOCK = 512  # ... and of one family, on their full sets
 COLUMNS = 4_096  # shingles that a comparison of full sets lays out at once
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 _U64 = np.uint64
 _random = np.random.default_rng(2024)
 _FACTORS = _random.integers(1, 1 << 63, SKETCHED, dtype=np.uint64) * _U64(2) + _U64(1)

@@ -31,7 +31,7 @@ MAX_TOKENS = 4096
 WORD_END = "</w>"  # fixed value: marks the last token of a word
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # ASCII, without quotes and backslash
 # Words whose ids a worker keeps between batches, about 150 bytes each.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 
 class WordIds:
@@ -139,7 +139,7 @@ def cut_documents(
         words = load_words(path)
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, size=2 << 20):
             rows, starts, lengths, crcs, totals, places, ids = [], [], [], [], [], [], []
             encoded = words.encode(batch.column(1).to_pylist(), end_id)
             for row, data in enumerate(encoded):

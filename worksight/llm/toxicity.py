@@ -37,7 +37,7 @@ RATE = 0.2
 FACTOR_RATE = 0.02
 L1 = 2.0
 L2 = 0.1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 _OUTER = b"\"'!?.,;:()[]{}<>*_-%&$#|~"
 
 

@@ -92,3 +92,16 @@ def test_text_ids_and_empty_table(spark):
 def test_cut_characters_are_dropped(spark):
     kept = spark.createDataFrame([("é".encode()[:1] + b"ok" + "é".encode(),)], "kept binary")
     assert kept.select(substrings.whole_characters("kept")).first()[0] == "oké"
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 100])
+def test_settled_strings_answer_later_documents(spark, block_bytes):
+    # spans of two earlier documents settle a string that stands in neither
+    choose = random.Random(7)
+    rows = []
+    for _ in range(25):
+        text = "".join(choose.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(220))
+        rows += [text[:130], text[90:220], text, text[82:137]]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(substrings.remove_repeats(docs, block_bytes=block_bytes)) == brute_force(rows, 50)

@@ -16,7 +16,8 @@ the same anchor at the same place. The steps are
    later one that reach the threshold: one of these in an earlier document settles all of
    its bytes;
 3. which anchors the strings still open have, so that others send only theirs;
-4. ranks of the whole threshold for the strings still open.
+4. ranks of the whole threshold for the strings still open, and for those of the same anchors
+   that no single span of an earlier document holds.
 
 The texts are written once, in id order, as blocks of a bucketed table. A step reads the
 blocks beside the answers of the earlier steps, without a shuffle of texts; only distinct
@@ -252,6 +253,10 @@ class Block:
         np.add.at(edges, self.span_from[settled], 1)
         np.add.at(edges, self.span_to[settled], -1)
         self.removed = np.cumsum(edges[:-1]) > 0
+        # how far a single settled span that starts no later than here reaches
+        self.reach = np.zeros(len(self.data) + 1, np.int32)
+        np.maximum.at(self.reach, self.span_from[settled], self.span_to[settled])
+        np.maximum.accumulate(self.reach, out=self.reach)
 
         def by_anchor(flags: np.ndarray, which: np.ndarray) -> np.ndarray:
             out = np.zeros(len(self.at), bool)
@@ -271,10 +276,12 @@ class Block:
         return Ranks(ranks, self.doc[self.known])
 
     def _open_strings(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """Strings that are not settled: position, anchor, whether open, whether shared.
+        """Strings that are open or may answer: position, anchor, whether open, whether shared.
 
-        Open ones may stand in an earlier document; shared ones may be what others have
-        open.
+        Open ones are not settled and may stand in an earlier document; shared ones may be
+        what others have open. Only a string inside a single settled span can't answer, for
+        it stands in an earlier document together with the span. One whose bytes several
+        spans settle may stand here first.
         """
         settled = np.concatenate(([0], np.cumsum(self.removed)))
         either = self.right_shared | self.left_shared
@@ -285,8 +292,8 @@ class Block:
             shared = np.where(to_right, self.right_shared[anchor], self.left_shared[anchor])
             earlier = np.where(to_right, self.right_earlier[anchor], self.left_earlier[anchor])
             left_over = settled[at + self.threshold] - settled[at] < self.threshold
-            keep = np.flatnonzero(shared & left_over)
-            yield at[keep], anchor[keep], earlier[keep], shared[keep]
+            keep = np.flatnonzero(shared & (self.reach[at] < at + self.threshold))
+            yield at[keep], anchor[keep], (earlier & left_over)[keep], shared[keep]
 
     def _after_wanted(self, step: Ranks, told: Answer) -> Ranks:
         wanted = np.zeros(len(self.at), bool)

@@ -19,6 +19,9 @@ COLUMNS = {
     8: "doc_id n_tokens ids_sha256 decoded_sha256",
     9: "page_id payload_bytes payload_digest record_type refers_to",
     10: "query_id rank vec_id score",
+    11: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    12: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    13: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -40,5 +43,8 @@ def test_columns_and_rows(spark, name):
         assert got.select("doc_id").distinct().count() == 200
     elif number == 10:
         assert rows == 50
+    elif number == 13:
+        conversations = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+        assert rows == conversations.select("conv_id").distinct().count()
     else:
         assert rows == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count()

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksight.llm import (
+    alignment,
     bpe,
+    conversations,
     fingerprints,
     html_text,
     lm,
     minhash,
     neighbours,
     packing,
+    quality,
     substrings,
     toxicity,
     warc,
@@ -95,6 +98,26 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the tokens of two tokenizers, aligned by their common ends."""
+    return alignment.alignment_statistics(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of all documents and the verdict of an isolation forest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by the checksum of their rows, and repaired at least cost."""
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_attention_lm,
@@ -107,6 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_warc_index,
         op10_nn_descent,
+        op11_token_alignment,
+        op12_quality_forest,
+        op13_conversation_repair,
     ]
     return {query.__name__: query for query in registered}
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,14 +8,18 @@ from pyspark.sql import functions as F
 from fixtures import list_pairs, projects, sample_projects, similar_by_brute_force
 from worksight.functions.text import STOP_WORDS, word_tokens
 from worksight.operators import keyed_join, similarity
+from worksight.operators.components import components
 from worksight.operators.similarity import (
     copy_groups,
     find_similar_works,
     pair_count,
+    class_members,
     pair_signals,
     project_signals,
+    similar_classes,
     top_pairs,
 )
+from worksight.operators.terms import work_vectors
 
 
 def test_stop_words(spark):
@@ -30,17 +36,32 @@ def test_tokens_of_any_script(spark):
     assert "x1" in tokens and "道路工程" in tokens and "4" not in tokens
 
 
-def test_term_counting_is_planned_once(spark):
-    """Spark must not copy the nested term expressions into a filter of their own."""
-    df = spark.createDataFrame(
-        [("A", "w", 1, 2, "b a b a b")],
+def test_vectors_of_shared_terms(spark):
+    """Shared terms with their counts, rarest first; the rest only in the norm."""
+    works = spark.createDataFrame(
+        [
+            ("A", "w1", 1, 4, "b a b a b"),
+            ("A", "w2", 2, 4, "a b c"),
+            ("A", "w3", 1, 4, "a x"),
+            ("B", "w4", 1, 1, "a b"),
+        ],
         "category string, work_id string, n_projects long, n_docs long, words string",
     )
-    counted = similarity._term_counts(df)
-    plan = counted._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("sort_array(") == 1
-    rows = {(r.term, r.tf, r.tf_squares) for r in counted.collect()}
-    assert rows == {("a", 2, 21), ("b", 3, 21), ("a b", 2, 21), ("b a", 2, 21)}
+    rows = {r.work_id: r for r in work_vectors(works, 0.0).collect()}
+    assert set(rows) == {"w1", "w2", "w3"}  # w4 shares nothing within its category
+
+    def idf(df):
+        return math.log(5 / (1 + df)) + 1
+
+    w1 = rows["w1"]  # b 3, a 2, "a b" 2 are shared, "b a" 2 is not
+    assert [e.n_works for e in w1.vector] == [2, 2, 3]
+    assert sorted((e.tf, round(e.weight, 9)) for e in w1.vector) == sorted(
+        [(3, round(3 * idf(3), 9)), (2, round(2 * idf(3), 9)), (2, round(2 * idf(4), 9))]
+    )
+    assert w1.alone == 4 and w1.total == pytest.approx(w1.shared + 4 * idf(1) ** 2)
+    ids = [e.term_id for r in rows.values() for e in r.vector]
+    by_rarity = sorted((e.term_id, e.n_works) for r in rows.values() for e in r.vector)
+    assert [n for _, n in by_rarity] == sorted(n for _, n in by_rarity) and len(set(ids)) == 3
 
 
 def test_sample_pair(spark):
@@ -109,6 +130,23 @@ def test_complete_against_brute_force(spark, monkeypatch, setting, seed):
     assert got == pytest.approx(expected, abs=0.011)
     assert pair_count(similar).first().n_pairs == len(expected)
 
+    # classes: what the listed pairs link, with their number and the strongest
+    group_of = {i: g for i, g, _ in rows}
+    links = defaultdict(list)
+    root = _roots(got)
+    for (a, _), percent in got.items():
+        links[root[a]].append(percent)
+    classes = {r.class_id: r for r in similar_classes(similar).collect()}
+    assert {c: (r.n_links, r.strongest_pct, r.category) for c, r in classes.items()} == {
+        c: (len(p), max(p), group_of[c]) for c, p in links.items()
+    }
+    members = {r.project_id: r.class_id for r in class_members(similar).collect()}
+    assert members == root
+    sizes = defaultdict(int)
+    for c in root.values():
+        sizes[c] += 1
+    assert {c: r.n_projects for c, r in classes.items()} == sizes
+
     # factored form: the same number of pairs, copies counted by group
     assert copy_groups(similar).agg(F.max("n_projects")).first()[0] >= 40
 
@@ -128,6 +166,57 @@ def test_complete_against_brute_force(spark, monkeypatch, setting, seed):
     )
 
 
+def _roots(pairs):
+    """The smallest id each id reaches, by plain union."""
+    root = {i: i for pair in pairs for i in pair}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 2])
+def test_components(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(keyed_join, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(keyed_join, "BROADCAST_ROWS", 100_000 if task_rows > 2 else 0)
+    rng = random.Random(task_rows)
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
+    star = [("s00", f"s{i:02d}") for i in range(1, 30)]
+    others = [(f"r{rng.randint(0, 60)}", f"r{rng.randint(0, 60)}") for _ in range(40)]
+    links = [*chain, *star, *others, ("r1", "r1"), *star]
+    rng.shuffle(links)
+    df = spark.createDataFrame([*links, (None, "s01")], "a string, b string").repartition(3)
+    got = {r.node: r.component for r in components(df, "a", "b").collect()}
+    assert got == _roots([(a, b) for a, b in links if a != b])
+    assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_near_copies_of_a_template_stay_linear(spark):
+    """Each copy has a word of its own: one shape, no pair is a row, all figures are exact."""
+    n = 2_000
+    base = " ".join(f"part{i}" for i in range(400))
+    rows = [(f"id{i:05d}", "A", f"{base} plot{i:05d}") for i in range(n)]
+    rows += [("x1", "A", "supply desks benches boards"), ("x2", "A", f"{base} plot00001")]
+    similar = find_similar_works(_frame(spark, rows))
+    assert similar.shape_pairs.count() <= 1 and similar.shapes.count() <= 3
+    listed = {(r.n_works, r.n_projects, r.n_links) for r in similar_classes(similar).collect()}
+    assert listed == {(n, n + 1, n * (n + 1) // 2)}
+    assert pair_count(similar).first().n_pairs == n * (n + 1) // 2
+    signals = {r.project_id: tuple(r)[1:] for r in project_signals(similar).collect()}
+    few = rows[:3] + rows[-1:]
+    assert {signals[i][1] for i, _, _ in few} == {n}
+    assert signals["id00001"][0] == signals["x2"][0] == 100.0 > signals["id00000"][0] > 80.0
+    assert "x1" not in signals
+    top = top_pairs(similar, _frame(spark, rows)).collect()
+    assert len(top) == 20 and (top[0].project_1, top[0].project_2) == ("id00001", "x2")
+
+
 def test_orientation_by_given_order(spark):
     df = projects(
         spark,

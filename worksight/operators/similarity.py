@@ -1,12 +1,16 @@
 """Near-duplicate work descriptions: exact TF-IDF cosine join within each category.
 
-Projects of one category whose descriptions have the same token sequence have the
-same vector. They form one *work* and are compared once; what must be counted in
-projects (document frequency, partners) uses the number of projects of the work. Pairs
-of different works come from a join on shared terms, cut down to each work's rarest
-terms by the prefix bound of All-Pairs (Bayardo, Ma and Srikant, 2007), and are then
-verified on the whole vectors. The result is complete: no term, partner or candidate is
-capped, and no group of copies is ever expanded into its pairs unless a caller lists them.
+Two levels of equality keep the join small. Projects of one category whose descriptions have
+the same token sequence form one *work*. Works that have the same terms in common with others,
+equally often, and the same norm form one *shape*: they differ only in terms nobody else has,
+so each has the same similarity to any work outside, and any two of them the same to each
+other. Near copies of a template, each with words of its own, are one shape.
+
+Pairs of different shapes come from a join on shared terms, cut down to each shape's rarest
+terms by the prefix bound of All-Pairs (Bayardo, Ma and Srikant, 2007), and are then verified
+on the whole vectors. Signals, counts and classes follow from shapes, their pairs and their
+sizes; neither a group of copies nor a shape is ever expanded into its pairs unless a caller
+lists them. The result is complete: no term, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from pyspark.sql import functions as F
 
 from worksight.config import DEFAULT, ScreeningConfig
 from worksight.functions.numeric import round_scaled
-from worksight.functions.text import STOP_WORDS, one_and_two_grams, word_tokens
+from worksight.functions.text import STOP_WORDS, word_tokens
+from worksight.operators.components import components
 from worksight.operators.keyed_join import attach
+from worksight.operators.terms import work_vectors
 from worksight.sources.schema import require_columns
 from worksight.sources.scratch import stored
 
-# Works that share a lead term, and projects of two works, meet in cells of at most
-# about this many by this many.
+# Shapes that share a lead term meet in cells of at most about this many by this many.
 CELL_WORKS = 10_000
 # Slack of the bounds for floating-point sums; the threshold itself has none.
 SLACK = 1e-9
@@ -35,14 +40,18 @@ SLACK = 1e-9
 class SimilarWorks:
     """Complete result in factored form.
 
-    works: category, words_key, work_id (its first project), work_seq, n_projects
-    pairs: category, work_1, seq_1, n_1, work_2, seq_2, n_2, similarity_pct, with
-        work_1 before work_2; stands for n_1 * n_2 project pairs
+    works: category, words_key, work_id (its first project), work_seq, n_projects, shape_id
+        (NULL for a work that is similar to no other)
+    shapes: category, shape_id (its first work), shape_seq, n_works, n_projects (of each of
+        its works), inner_pct (similarity of any two of its works, NULL below the threshold)
+    shape_pairs: category, shape_1, works_1, n_1, shape_2, works_2, n_2, similarity_pct; each
+        stands for works_1 * works_2 pairs of works and n_1 * n_2 times as many of projects
     members: project_id, seq, category, words_key; one row per project with tokens
     """
 
     works: DataFrame
-    pairs: DataFrame
+    shapes: DataFrame
+    shape_pairs: DataFrame
     members: DataFrame
     stop_words: list[str]
 
@@ -50,6 +59,42 @@ class SimilarWorks:
         """The words_key of a description."""
         return _words_key(_words(text, self.stop_words))
 
+    @property
+    def pairs(self) -> DataFrame:
+        """All pairs of similar works, listed: as many rows as there are such pairs.
+
+        category, work_1, seq_1, n_1, work_2, seq_2, n_2, similarity_pct, with work_1 before
+        work_2; stands for n_1 * n_2 project pairs.
+        """
+        return _listed_pairs(self.works, self.shape_pairs, self.shapes)
+
+
+def _listed_pairs(works: DataFrame, shape_pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    work = F.struct("work_seq", "work_id", "n_projects")
+    p = works.select(F.col("shape_id").alias("shape_1"), work.alias("p"))
+    q = works.select(F.col("shape_id").alias("shape_2"), work.alias("q"))
+    within = shapes.where(F.col("inner_pct").isNotNull() & (F.col("n_works") > 1)).select(
+        "category",
+        F.col("shape_id").alias("shape_1"),
+        F.col("shape_id").alias("shape_2"),
+        F.col("inner_pct").alias("similarity_pct"),
+    )
+    linked = shape_pairs.select("category", "shape_1", "shape_2", "similarity_pct")
+    once = (F.col("shape_1") != F.col("shape_2")) | (F.col("p") < F.col("q"))
+    met = linked.unionByName(within).join(p, "shape_1").join(q, "shape_2").where(once)
+    first, second = F.least("p", "q"), F.greatest("p", "q")
+    both = met.select("category", "similarity_pct", first.alias("p"), second.alias("q"))
+    return both.select(
+        "category",
+        F.col("p.work_id").alias("work_1"),
+        F.col("p.work_seq").alias("seq_1"),
+        F.col("p.n_projects").alias("n_1"),
+        F.col("q.work_id").alias("work_2"),
+        F.col("q.work_seq").alias("seq_2"),
+        F.col("q.n_projects").alias("n_2"),
+        "similarity_pct",
+    )
+
 
 def _words(text: Column, stop_words: list[str]) -> Column:
     return F.array_join(word_tokens(text, stop_words), " ")
@@ -100,165 +145,99 @@ def _collapsed(tokenised: DataFrame) -> DataFrame:
     )
 
 
-def _term_counts(works: DataFrame) -> DataFrame:
-    """Terms of each work with their counts, made inside the row (no shuffle).
-
-    Sorted terms form runs; ``starts`` are the positions where a run begins.
-    """
-
-    def begins(i: Column) -> Column:
-        return (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))
-
-    def count(start: Column, k: Column) -> Column:
-        return F.coalesce(F.get("starts", k + 1), F.size("terms")) - start
+def _shaped(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with shape_key: equal for equal shared terms, counts, norm and copies."""
+    terms = F.transform(
+        "vector", lambda e: F.concat_ws(":", e["term_id"].cast("string"), e["tf"].cast("string"))
+    )
+    facts = F.concat_ws("/", "alone", "n_projects")
+    # a term number belongs to one category, so the key does, too
+    return vectors.withColumn("shape_key", F.unhex(F.sha2(F.concat_ws(",", facts, terms), 256)))
 
-    def run(start: Column, k: Column) -> Column:
-        return F.struct(F.get("terms", start).alias("term"), count(start, k).alias("tf"))
 
-    positions = F.sequence(F.lit(0), F.size("terms") - 1)
-    squares = F.aggregate(
-        F.transform("starts", count),
-        F.lit(0).cast("long"),
-        lambda total, tf: total + tf.cast("long") * tf,
+def _shapes(shaped: DataFrame, works: DataFrame) -> DataFrame:
+    """One row per shape with its unit vector, rarest term first."""
+    order = works.select("work_id", "work_seq")
+    whole = shaped.groupBy("shape_key").agg(
+        *(F.any_value(c).alias(c) for c in ("category", "vector", "shared", "total", "n_projects"))
     )
-    return (
-        works.withColumn("tokens", F.split("words", " "))
-        .withColumn("terms", F.sort_array(one_and_two_grams(F.col("tokens"))))
-        .withColumn("starts", F.filter(positions, begins))
-        .withColumn("tf_squares", squares)
-        .select(
-            "category",
-            "work_id",
-            "n_projects",
-            "n_docs",
-            "tf_squares",
-            # not a column of its own: Spark would infer a filter from it and evaluate
-            # all of the above a second time, nested, below the projections
-            F.inline(F.transform("starts", run)),
-        )
+    sizes = (
+        shaped.select("work_id", "shape_key")
+        .join(order, "work_id")
+        .groupBy("shape_key")
+        .agg(F.min(F.struct("work_seq", "work_id")).alias("first"), F.count("*").alias("n_works"))
     )
-
-
-def _shared_terms(works: DataFrame) -> DataFrame:
-    """Terms of two or more works of a category; the rest need no look-up."""
-    tokens = works.withColumn("tokens", F.split("words", " "))
-    terms = F.array_distinct(one_and_two_grams(F.col("tokens")))
-    return (
-        tokens.select("category", "n_projects", F.explode(terms).alias("term"))
-        .groupBy("term", "category")
-        .agg(F.sum("n_projects").alias("df"), F.count("*").alias("n_works"))
-        .where(F.col("n_works") > 1)
+    unit = F.transform(
+        "vector",
+        lambda e: F.struct(
+            e["term_id"].alias("term_id"),
+            (e["weight"] / F.sqrt("total")).alias("weight"),
+            e["n_works"].alias("n_works"),
+        ),
+    )
+    return whole.join(sizes, "shape_key").select(
+        "category",
+        "shape_key",
+        F.col("first.work_id").alias("shape_id"),
+        F.col("first.work_seq").alias("shape_seq"),
+        "n_works",
+        "n_projects",
+        unit.alias("vector"),
+        (F.col("shared") / F.col("total")).alias("inner"),
     )
 
 
-def _idf(df: str) -> Column:
-    return F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col(df))) + 1.0
-
-
-def _vectors(works: DataFrame, threshold: float) -> DataFrame:
-    """Shared terms of the unit vectors, one row per work and term.
-
-    A term no other work has adds to the norm and to no dot product. All such terms of
-    a work have the same weight per count, so their part of the norm follows from the
-    sum of squared counts, and only shared terms come through the join. A work whose
-    shared terms make up less than the threshold of its norm can reach it with nobody
-    and is left out.
+def _leads(shapes: DataFrame, threshold: float) -> DataFrame:
+    """The terms of each shape that can be the first it has in common with a similar one.
 
-    Shared terms are ordered from rare to common. Let ``rest`` be the norm of the
-    vector behind a term. If two works reach the threshold, then at their first common
-    term w1 * w2 + rest_1 * rest_2 does too (Cauchy-Schwarz), so that term lies in the
-    ``lead`` of both: the part of the order up to where the remaining norm falls below
-    the threshold.
+    Terms are ordered from rare to common. Let ``rest`` be the norm of the vector behind a
+    term. If two shapes reach the threshold, then at their first common term w1 * w2 +
+    rest_1 * rest_2 does too (Cauchy-Schwarz), so that term lies in the lead of both: the part
+    of the order up to where the remaining norm falls below the threshold.
     """
-    shared = stored(_shared_terms(works), "shared-terms")
-    known = attach(
-        _term_counts(works),
-        shared,
-        ["term", "category"],  # the more selective key first: it is sorted by prefix
-        "n_works",
-        spread_by="work_id",
-        how="inner",
-        small=False,
+    entries = shapes.select(
+        "shape_id", F.size("vector").alias("n_terms"), F.inline("vector")
     )
-    tf, raw = F.col("tf").cast("long"), F.col("raw")
-    weighted = known.select(
-        "category",
-        "work_id",
-        "term",
-        "n_works",
-        (tf * _idf("df")).alias("raw"),
-        (tf * tf).alias("tf_square"),
-        "tf_squares",
-        _idf("n_projects").alias("own_idf"),
-    )
-    from_common = W.partitionBy("work_id").orderBy(F.desc("n_works"), F.desc("term"))
+    from_common = W.partitionBy("shape_id").orderBy(F.desc("term_id"))
     so_far = from_common.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = from_common.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    alone = F.col("tf_squares") - F.sum("tf_square").over(whole)
-    shared_total = F.sum(raw * raw).over(whole)
-    least = threshold * threshold - SLACK
-    summed = weighted.select(
-        "category",
-        "work_id",
-        "term",
-        "raw",
-        F.sum(raw * raw).over(so_far).alias("tail"),
-        shared_total.alias("shared_total"),
-        (shared_total + alone * F.col("own_idf") * F.col("own_idf")).alias("total"),
-        F.count("*").over(whole).alias("n_terms"),
-    ).where(F.col("shared_total") >= least * F.col("total"))
-    behind = F.greatest(F.col("tail") - raw * raw, F.lit(0.0))
-    return summed.select(
-        "category",
-        "work_id",
-        "term",
+    square = F.col("weight") * F.col("weight")
+    tail = entries.withColumn("tail", F.sum(square).over(so_far))
+    return tail.where(F.col("tail") >= threshold * threshold - SLACK).select(
+        "shape_id",
+        "term_id",
         "n_terms",
-        (raw / F.sqrt("total")).alias("weight"),
-        F.sqrt(behind / F.col("total")).alias("rest"),
-        (F.col("tail") >= least * F.col("total")).alias("lead"),
+        "weight",
+        F.sqrt(F.greatest(F.col("tail") - square, F.lit(0.0))).alias("rest"),
     )
 
 
-def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of works whose bound at a common lead term reaches the threshold.
+def _candidates(leads: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of shapes whose bound at a common lead term reaches the threshold.
 
-    A term that leads many works has them split into blocks, and each pair of blocks
+    A term that leads many shapes has them split into blocks, and each pair of blocks
     meets in a cell of its own, so the comparisons of a hot term spread over many tasks.
     """
-    leads = vectors.where("lead").select(
-        "category", "work_id", "term", "n_terms", "weight", "rest"
-    )
-    crowded = leads.groupBy("term", "category").agg(F.count("*").alias("n_leads"))
+    crowded = leads.groupBy("term_id").agg(F.count("*").alias("n_leads"))
     crowded = stored(crowded.where(F.col("n_leads") > CELL_WORKS), "crowded-terms")
     cells = F.ceil(F.coalesce("n_leads", F.lit(1)) / CELL_WORKS).cast("int")
     placed = (
-        attach(leads, crowded, ["term", "category"], "n_leads", spread_by="work_id")
+        attach(leads, crowded, ["term_id"], "n_leads", spread_by="shape_id")
         .withColumn("blocks", cells)
-        .withColumn("block", F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int"))
-    )
-    left = placed.select(
-        "category",
-        "term",
-        F.col("work_id").alias("a"),
-        F.col("n_terms").alias("n_a"),
-        F.col("weight").alias("w_a"),
-        F.col("rest").alias("rest_a"),
-        F.col("block").alias("row"),
-        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("column"),
-    )
-    right = placed.select(
-        "category",
-        "term",
-        F.col("work_id").alias("b"),
-        F.col("n_terms").alias("n_b"),
-        F.col("weight").alias("w_b"),
-        F.col("rest").alias("rest_b"),
-        F.col("block").alias("column"),
-        F.explode(F.sequence(F.lit(0), "block")).alias("row"),
+        .withColumn("block", F.pmod(F.xxhash64("shape_id"), F.col("blocks")).cast("int"))
     )
+
+    def side(name: str, block: str, other: str, others: Column) -> DataFrame:
+        facts = {"shape_id": name, "n_terms": f"n_{name}", "weight": f"w_{name}", "rest": f"rest_{name}"}
+        renamed = [F.col(old).alias(new) for old, new in facts.items()]
+        return placed.select(
+            "term_id", *renamed, F.col("block").alias(block), F.explode(others).alias(other)
+        )
+
+    left = side("a", "row", "column", F.sequence("block", F.col("blocks") - 1))
+    right = side("b", "column", "row", F.sequence(F.lit(0), "block"))
     bound = F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b")
     once = (F.col("row") < F.col("column")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["term", "category", "row", "column"]).where(
+    met = left.join(right, ["term_id", "row", "column"]).where(
         once & (bound >= threshold - SLACK)
     )
     first_a = F.struct("n_a", "a") < F.struct("n_b", "b")
@@ -269,37 +248,43 @@ def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def _dot(left: Column, right: Column) -> Column:
-    """Dot product of two vectors given as arrays of (term, weight).
+    """Dot product of two vectors given as arrays of (term_id, weight) in the order of term_id.
 
-    Sorted together, a term that both have stands twice in a row.
+    Put behind one another they are two sorted runs, which the sort merges in linear time;
+    a term that both have then stands twice in a row.
     """
-    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum"))
+    start = F.struct(
+        F.lit(-1).cast("long").alias("term_id"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum")
+    )
 
     def add(so_far: Column, entry: Column) -> Column:
         product = so_far["weight"] * entry["weight"]
+        same = so_far["term_id"] == entry["term_id"]
         return F.struct(
-            entry["term"].alias("term"),
+            entry["term_id"].alias("term_id"),
             entry["weight"].alias("weight"),
-            (so_far["sum"] + F.when(so_far["term"] == entry["term"], product).otherwise(0.0)).alias("sum"),
+            (so_far["sum"] + F.when(same, product).otherwise(0.0)).alias("sum"),
         )
 
     merged = F.sort_array(F.concat(left, right))
     return F.aggregate(merged, start, add, lambda end: end["sum"])
 
 
-def _verified(candidates: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _verified(candidates: DataFrame, shapes: DataFrame, threshold: float) -> DataFrame:
     """Candidates with the cosine of their whole vectors, if it reaches the threshold.
 
-    Each work in question becomes one row with its vector, and a candidate meets the two
-    rows; a work of very many candidates is spread over several tasks on either side.
+    A candidate meets the rows of its two shapes; a shape of very many candidates is spread
+    over several tasks on either side.
     """
-    ends = candidates.select(F.explode(F.array("short", "long")).alias("work_id"))
-    wanted = ends.groupBy("work_id").agg(F.count("*").alias("n_candidates"))
+    ends = candidates.select(F.explode(F.array("short", "long")).alias("shape_id"))
+    wanted = ends.groupBy("shape_id").agg(F.count("*").alias("n_candidates"))
+    pairs = F.transform(
+        "vector", lambda e: F.struct(e["term_id"].alias("term_id"), e["weight"].alias("weight"))
+    )
     whole = stored(
-        vectors.select("work_id", F.struct("term", "weight").alias("entry"))
-        .join(wanted, "work_id")
-        .groupBy("work_id", "n_candidates")
-        .agg(F.collect_list("entry").alias("vector")),
+        shapes.select("shape_id", pairs.alias("vector"))
+        .join(wanted, "shape_id")
+        .select("shape_id", "n_candidates", "vector"),
         "candidate-vectors",
     )
     of_short = whole.toDF("short", "n_short", "x")
@@ -345,35 +330,43 @@ def find_similar_works(
     sized = attach(
         works.where(has_words), sizes, ["category"], "n_docs", spread_by="work_id"
     )
-    vectors = stored(_vectors(sized, threshold), "vectors")
-    candidates = stored(_candidates(vectors, threshold), "candidates")
-    cosines = _verified(candidates, vectors, threshold)
+    vectors = stored(_shaped(work_vectors(sized, threshold * threshold - SLACK)), "vectors")
+    has_shape = vectors.select("work_id", "shape_key")
+    shapes = stored(_shapes(vectors, works), "shapes")
+    candidates = stored(_candidates(_leads(shapes, threshold), threshold), "candidates")
+    cosines = _verified(candidates, shapes, threshold)
 
-    info = works.select("category", "work_id", "work_seq", "n_projects")
-    one = info.select(
-        "category",
-        F.col("work_id").alias("short"),
-        F.struct("work_seq", "work_id", "n_projects").alias("one"),
-    )
-    two = info.select(
-        F.col("work_id").alias("long"),
-        F.struct("work_seq", "work_id", "n_projects").alias("two"),
-    )
+    def percent(cosine: Column) -> Column:
+        return round_scaled(cosine * 100, 2)
+
+    facts = shapes.select("shape_id", "category", "shape_seq", "n_works", "n_projects")
+    shape = F.struct("shape_seq", "shape_id", "n_works", "n_projects")
+    one = facts.select("category", F.col("shape_id").alias("short"), shape.alias("one"))
+    two = facts.select(F.col("shape_id").alias("long"), shape.alias("two"))
     both = cosines.join(one, "short").join(two, "long")
     first, second = F.least("one", "two"), F.greatest("one", "two")
     pairs = both.select("category", "cosine", first.alias("p"), second.alias("q")).select(
         "category",
-        F.col("p.work_id").alias("work_1"),
-        F.col("p.work_seq").alias("seq_1"),
+        F.col("p.shape_id").alias("shape_1"),
+        F.col("p.n_works").alias("works_1"),
         F.col("p.n_projects").alias("n_1"),
-        F.col("q.work_id").alias("work_2"),
-        F.col("q.work_seq").alias("seq_2"),
+        F.col("q.shape_id").alias("shape_2"),
+        F.col("q.n_works").alias("works_2"),
         F.col("q.n_projects").alias("n_2"),
-        round_scaled(F.col("cosine") * 100, 2).alias("similarity_pct"),
+        percent(F.col("cosine")).alias("similarity_pct"),
+    )
+    inner = F.when(F.col("inner") >= threshold, percent(F.col("inner")))
+    known = attach(
+        works.where(has_words).drop("words").join(has_shape, "work_id", "left"),
+        shapes.select("shape_key", "shape_id", "n_works"),
+        ["shape_key"],
+        "n_works",
+        spread_by="work_id",
     )
     return SimilarWorks(
-        works=works.where(has_words).drop("words"),
-        pairs=stored(pairs, "work-pairs"),
+        works=stored(known.drop("shape_key", "n_works"), "shaped-works"),
+        shapes=shapes.withColumn("inner_pct", inner).drop("vector", "shape_key", "inner"),
+        shape_pairs=stored(pairs, "shape-pairs"),
         members=tokenised.where(has_words).drop("words"),
         stop_words=stop_words,
     )
@@ -393,45 +386,169 @@ def copy_groups(similar: SimilarWorks) -> DataFrame:
 
 def pair_count(similar: SimilarWorks) -> DataFrame:
     """Number of similar project pairs, counted without listing them."""
-    counts = copy_groups(similar).select("n_pairs").unionByName(
-        similar.pairs.select((F.col("n_1") * F.col("n_2")).alias("n_pairs"))
+    projects, works = F.col("n_projects"), F.col("n_works")
+    within = similar.shapes.where(F.col("inner_pct").isNotNull()).select(
+        (works * (works - 1) / 2 * projects * projects).cast("long").alias("n_pairs")
     )
+    across = similar.shape_pairs.select(
+        (F.col("works_1") * F.col("n_1") * F.col("works_2") * F.col("n_2")).alias("n_pairs")
+    )
+    counts = copy_groups(similar).select("n_pairs").unionByName(within).unionByName(across)
     return counts.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))
 
 
+def _shape_partners(similar: SimilarWorks) -> DataFrame:
+    """shape_id, similarity_pct, n: works and projects similar to each work of the shape."""
+    pairs = similar.shape_pairs
+
+    def side(mine: int, other: int) -> DataFrame:
+        return pairs.select(
+            F.col(f"shape_{mine}").alias("shape_id"),
+            "similarity_pct",
+            (F.col(f"works_{other}") * F.col(f"n_{other}")).alias("n"),
+        )
+
+    within = similar.shapes.where(F.col("inner_pct").isNotNull() & (F.col("n_works") > 1)).select(
+        "shape_id",
+        F.col("inner_pct").alias("similarity_pct"),
+        ((F.col("n_works") - 1) * F.col("n_projects")).alias("n"),
+    )
+    return side(1, 2).unionByName(side(2, 1)).unionByName(within)
+
+
 def work_signals(similar: SimilarWorks) -> DataFrame:
     """Strongest similarity and number of partners of a project, one row per work.
 
     A project is paired with every other copy of its own work and with every project
-    of a similar work.
+    of a similar work. All works of a shape have the same partners outside.
     """
-    pairs = similar.pairs
-    partners = pairs.select(
-        F.col("work_1").alias("work_id"), "similarity_pct", F.col("n_2").alias("n")
-    ).unionByName(
-        pairs.select(
-            F.col("work_2").alias("work_id"), "similarity_pct", F.col("n_1").alias("n")
-        )
-    )
-    copies = copy_groups(similar).select(
-        F.col("first_project").alias("work_id"),
-        "similarity_pct",
-        (F.col("n_projects") - 1).alias("n"),
-    )
-    signals = partners.unionByName(copies).groupBy("work_id").agg(
-        F.max("similarity_pct").alias("max_similarity_pct"),
-        F.sum("n").alias("similar_project_count"),
-    )
-    return similar.works.join(signals, "work_id").select(
+    of_shape = _shape_partners(similar).groupBy("shape_id").agg(
+        F.max("similarity_pct").alias("strongest"), F.sum("n").alias("n")
+    )
+    sizes = similar.shapes.select("shape_id", "n_works")
+    of_shape = stored(of_shape.join(sizes, "shape_id"), "shape-signals")
+    beside = attach(similar.works, of_shape, ["shape_id"], "n_works", spread_by="work_id")
+    copies = F.col("n_projects") - 1
+    return beside.where(F.col("strongest").isNotNull() | (copies > 0)).select(
         "category",
         "words_key",
-        "max_similarity_pct",
-        "similar_project_count",
+        F.when(copies > 0, 100.0).otherwise(F.col("strongest")).alias("max_similarity_pct"),
+        (F.coalesce("n", F.lit(0)) + copies).alias("similar_project_count"),
         F.lit(True).alias("duplicate_signal"),
         "n_projects",
     )
 
 
+def similar_classes(similar: SimilarWorks) -> DataFrame:
+    """Classes of projects that similarity links, directly or through others.
+
+    One row per class: category, class_id (its first project in order), n_works, n_projects,
+    n_links (similar project pairs within it) and strongest_pct. A class is grown from shapes
+    and their pairs, so its row count and its cost follow the shapes, not the pairs.
+    """
+    works, projects = F.col("n_works"), F.col("n_projects")
+    placed = _class_of_shapes(similar)
+    linked = placed.where(F.col("shape_class").isNotNull())
+    pairs_of_works = F.when(F.col("inner_pct").isNotNull(), works * (works - 1) / 2).otherwise(0)
+    copies = works * projects * (projects - 1) / 2
+    within = linked.select(
+        "category",
+        F.col("shape_class").alias("class"),
+        F.struct("shape_seq", "shape_id").alias("first"),
+        works.alias("works"),
+        (works * projects).alias("projects"),
+        (pairs_of_works * projects * projects + copies).cast("long").alias("links"),
+        F.when(projects > 1, 100.0)
+        .when(works > 1, F.col("inner_pct"))
+        .alias("strongest"),
+    )
+    none = F.lit(None)
+    across = similar.shape_pairs.select(
+        "category",
+        F.col("shape_1").alias("shape_id"),
+        (F.col("works_1") * F.col("works_2") * F.col("n_1") * F.col("n_2")).alias("links"),
+        F.col("similarity_pct").alias("strongest"),
+    ).join(linked.select("shape_id", F.col("shape_class").alias("class")), "shape_id")
+    across = across.select(
+        "category",
+        "class",
+        none.cast(within.schema["first"].dataType).alias("first"),
+        F.lit(0).cast("long").alias("works"),
+        F.lit(0).cast("long").alias("projects"),
+        "links",
+        "strongest",
+    )
+    of_shapes = within.unionByName(across).groupBy("category", "class").agg(
+        F.min("first").alias("first"),
+        *(F.sum(c).alias(c) for c in ("works", "projects", "links")),
+        F.max("strongest").alias("strongest"),
+    )
+    joined = of_shapes.select(
+        "category",
+        F.col("first.shape_id").alias("class_id"),
+        F.col("works").alias("n_works"),
+        F.col("projects").alias("n_projects"),
+        F.col("links").alias("n_links"),
+        F.col("strongest").alias("strongest_pct"),
+    )
+    alone = _copies_alone(similar, placed).select(
+        "category",
+        F.col("work_id").alias("class_id"),
+        F.lit(1).cast("long").alias("n_works"),
+        "n_projects",
+        (projects * (projects - 1) / 2).cast("long").alias("n_links"),
+        F.lit(100.0).alias("strongest_pct"),
+    )
+    return joined.unionByName(alone)
+
+
+def _class_of_shapes(similar: SimilarWorks) -> DataFrame:
+    """Shapes with shape_class, the smallest shape they are linked to; NULL if with none.
+
+    All works of a shape lie in one class if they are similar to each other or all similar
+    to works of another shape.
+    """
+    found = components(similar.shape_pairs, "shape_1", "shape_2")
+    roots = found.toDF("shape_id", "linked_class")
+    itself = F.when(F.col("inner_pct").isNotNull() & (F.col("n_works") > 1), F.col("shape_id"))
+    placed = similar.shapes.join(roots, "shape_id", "left")
+    return stored(
+        placed.withColumn("shape_class", F.coalesce("linked_class", itself)).drop("linked_class"),
+        "shape-classes",
+    )
+
+
+def _copies_alone(similar: SimilarWorks, placed: DataFrame) -> DataFrame:
+    """Works of two or more projects that are similar to no other work."""
+    linked = placed.where(F.col("shape_class").isNotNull()).select("shape_id", "n_works", "shape_class")
+    beside = attach(similar.works, linked, ["shape_id"], "n_works", spread_by="work_id")
+    return beside.where((F.col("n_projects") > 1) & F.col("shape_class").isNull())
+
+
+def class_members(similar: SimilarWorks) -> DataFrame:
+    """project_id, category, class_id of every project that is similar to another one."""
+    placed = _class_of_shapes(similar)
+    linked = placed.where(F.col("shape_class").isNotNull())
+    first = linked.groupBy("shape_class").agg(F.min(F.struct("shape_seq", "shape_id")).alias("first"))
+    ids = linked.join(first, "shape_class").select(
+        "shape_id", "n_works", F.col("first.shape_id").alias("class_id")
+    )
+    beside = attach(similar.works, stored(ids, "class-ids"), ["shape_id"], "n_works", "work_id")
+    own = F.when(F.col("n_projects") > 1, F.col("work_id"))
+    of_work = beside.withColumn("class_id", F.coalesce("class_id", own)).where("class_id is not null")
+    of_work = of_work.select("category", "words_key", "class_id", "n_projects")
+    return (
+        attach(
+            similar.members,
+            stored(of_work, "work-classes"),
+            ["category", "words_key"],
+            "n_projects",
+            spread_by="project_id",
+            how="inner",
+        ).select("project_id", "category", "class_id")
+    )
+
+
 def project_signals(similar: SimilarWorks) -> DataFrame:
     """Signal rows of all projects that have a similar one."""
     signals = stored(work_signals(similar), "work-signals")
@@ -505,6 +622,33 @@ def _report_order() -> list[Column]:
     return [F.desc("similarity_pct"), F.col("category"), F.col("seq_1"), F.col("seq_2")]
 
 
+def _first_work_pairs(similar: SimilarWorks, k: int) -> DataFrame:
+    """Pairs of works that hold the first k of the report order, listed from few works.
+
+    Only pairs at or above the k-th highest similarity can be among them, and of two shapes
+    only the first k + 1 works of each: k pairs with an earlier work come before any other.
+    """
+    inner = F.col("inner_pct").isNotNull() & (F.col("n_works") > 1)
+    levels = similar.shape_pairs.select("similarity_pct").unionByName(
+        similar.shapes.where(inner).select(F.col("inner_pct").alias("similarity_pct"))
+    )
+    least = levels.orderBy(F.desc("similarity_pct")).limit(k).agg(F.min("similarity_pct").alias("least"))
+    pairs = similar.shape_pairs.join(F.broadcast(least), F.col("similarity_pct") >= F.col("least"))
+    shapes = similar.shapes.where(inner).join(F.broadcast(least), F.col("inner_pct") >= F.col("least"))
+    wanted = (
+        pairs.select(F.explode(F.array("shape_1", "shape_2")).alias("shape_id"))
+        .unionByName(shapes.select("shape_id"))
+        .distinct()
+    )
+    by_order = W.partitionBy("shape_id").orderBy("work_seq", "work_id")
+    first = (
+        similar.works.join(wanted, "shape_id")
+        .withColumn("place", F.row_number().over(by_order))
+        .where(F.col("place") <= k + 1)
+    )
+    return _listed_pairs(stored(first, "first-works"), pairs, shapes)
+
+
 def top_pairs(
     similar: SimilarWorks,
     projects: DataFrame,
@@ -516,7 +660,8 @@ def top_pairs(
     """The k most similar project pairs, ties by category and project order.
 
     Exact without listing all pairs: the first k pairs come from the first k groups of
-    copies and the first k pairs of works, and use only the first k + 1 projects of each.
+    copies and the first k pairs of works, and use only the first k + 1 projects of each;
+    the pairs of works come from the first works of the most similar shapes.
     """
     copies = (
         similar.works.where(F.col("n_projects") > 1)
@@ -531,9 +676,8 @@ def top_pairs(
         .orderBy(*_report_order())
         .limit(k)
     )
-    distinct_works = (
-        similar.pairs.select(*copies.columns).orderBy(*_report_order()).limit(k)
-    )
+    distinct_works = _first_work_pairs(similar, k).select(*copies.columns)
+    distinct_works = distinct_works.orderBy(*_report_order()).limit(k)
     entries = copies.unionByName(distinct_works).drop("seq_1", "seq_2")
     entries = stored(entries, "top-entries")  # at most 2 * k rows
     wanted = entries.select(F.explode(F.array("work_1", "work_2")).alias("work_id"))

@@ -40,7 +40,7 @@ from worksight.operators.keyed_join import attach
 from worksight.sources.scratch import stored
 
 PIECE = 8192  # steps of the merge in one piece
-SLICE_BYTES = 4 << 20  # bytes of the texts of a block, or one longer text
+SLICE_BYTES = 2 << 20  # bytes of the texts of a block, or one longer text
 # The pattern that byte-level tokenizers of this kind cut texts by: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The fast encoder's pattern engine has a bounded stack; longer runs take the plain encoder.
@@ -78,11 +78,10 @@ class ByteLevel:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self._plain = Tokenizer.from_file(path)
-        self._plain.encode_special_tokens = True  # in a text they are ordinary text
+        self._path, self._library = path, None
         alphabet = _byte_alphabet()
         special = {token["id"] for token in spec["added_tokens"]}
-        vocabulary = self._plain.get_vocab(with_added_tokens=True)
+        vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             if number not in special:
@@ -106,15 +105,19 @@ class ByteLevel:
                 "a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
             ).encode_ordinary
 
+    def _plain(self, text: str) -> list[int]:
+        if self._library is None:  # large, and seldom needed
+            self._library = Tokenizer.from_file(self._path)
+            self._library.encode_special_tokens = True  # in a text they are ordinary text
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if self._fast:
-            return [
-                self._fast(text)
-                if len(text) < 2000 or not _LONG_WHITE(text)
-                else self._plain.encode(text, add_special_tokens=False).ids
-                for text in texts
-            ]
-        return [e.ids for e in self._plain.encode_batch_fast(texts, add_special_tokens=False)]
+        return [
+            self._fast(text)
+            if self._fast and (len(text) < 2000 or not _LONG_WHITE(text))
+            else self._plain(text)
+            for text in texts
+        ]
 
 
 class Pieces:

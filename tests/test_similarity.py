@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixtures import list_pairs, projects, sample_projects, similar_by_brute_force
 from worksight.functions.text import STOP_WORDS, word_tokens
-from worksight.operators import keyed_join, similarity
+from worksight.operators import keyed_join, similarity, terms
 from worksight.operators.components import components
 from worksight.operators.similarity import (
     copy_groups,
@@ -59,9 +59,10 @@ def test_vectors_of_shared_terms(spark):
         [(3, round(3 * idf(3), 9)), (2, round(2 * idf(3), 9)), (2, round(2 * idf(4), 9))]
     )
     assert w1.alone == 4 and w1.total == pytest.approx(w1.shared + 4 * idf(1) ** 2)
-    ids = [e.term_id for r in rows.values() for e in r.vector]
-    by_rarity = sorted((e.term_id, e.n_works) for r in rows.values() for e in r.vector)
-    assert [n for _, n in by_rarity] == sorted(n for _, n in by_rarity) and len(set(ids)) == 3
+    for row in rows.values():
+        order = [(e.n_works, e.code) for e in row.vector]
+        assert order == sorted(order)
+    assert len({e.code for r in rows.values() for e in r.vector}) == 3
 
 
 def test_sample_pair(spark):
@@ -109,16 +110,16 @@ def _frame(spark, rows, partitions=3):
 
 SETTINGS = {
     "defaults": {},
-    "split": {"CELL_WORKS": 3, "BROADCAST_ROWS": 0, "TASK_ROWS": 2},
+    "split": {"CELL_WORKS": 3, "BROADCAST_ROWS": 0, "TASK_ROWS": 2, "BROADCAST_CODES": 0},
+    "clashing codes": {"CODE_BITS": 5},
 }
 
 
-@pytest.mark.parametrize("setting", SETTINGS)
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(("setting", "seed"), [("defaults", 1), ("split", 2), ("clashing codes", 3)])
 def test_complete_against_brute_force(spark, monkeypatch, setting, seed):
     """All pairs and only those, also when every hot path and block split is in use."""
     for name, value in SETTINGS[setting].items():
-        module = similarity if name == "CELL_WORKS" else keyed_join
+        module = {"CELL_WORKS": similarity, "CODE_BITS": terms, "BROADCAST_CODES": terms}.get(name, keyed_join)
         monkeypatch.setattr(module, name, value)
     rows = sorted(_corpus(seed))
     expected = similar_by_brute_force(rows, STOP_WORDS)
@@ -186,7 +187,7 @@ def test_components(spark, monkeypatch, task_rows):
     monkeypatch.setattr(keyed_join, "TASK_ROWS", task_rows)
     monkeypatch.setattr(keyed_join, "BROADCAST_ROWS", 100_000 if task_rows > 2 else 0)
     rng = random.Random(task_rows)
-    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(20)]
     star = [("s00", f"s{i:02d}") for i in range(1, 30)]
     others = [(f"r{rng.randint(0, 60)}", f"r{rng.randint(0, 60)}") for _ in range(40)]
     links = [*chain, *star, *others, ("r1", "r1"), *star]

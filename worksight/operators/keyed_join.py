@@ -35,6 +35,7 @@ def attach(
     spread_by: str,
     how: str = "left",
     small: bool | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """``rows`` with the other columns of ``table`` for their key.
 
@@ -45,7 +46,8 @@ def attach(
     is too large to broadcast, a key of more than ``TASK_ROWS`` rows is cut into that many
     parts: its table row is repeated for each part, and each of ``rows`` falls into one by
     ``spread_by``. The join stays a plain one, so an inner join can drop rows before the
-    shuffle by a Bloom filter of the keys.
+    shuffle by a Bloom filter of the keys. ``hashed`` builds hash maps of the table's
+    partitions, so that far more rows than the table has need no sort.
     """
     keys = list(keys)
     if fits_broadcast(table) if small is None else small:
@@ -68,5 +70,7 @@ def attach(
         .withColumn("_part", F.col("_part").cast("bigint"))
         .select(*keys, "_part", *values)
     )
+    if hashed:
+        cut = cut.hint("shuffle_hash")
     placed = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part)
     return placed.join(cut, [*keys, "_part"], how).select(*rows.columns, *values)

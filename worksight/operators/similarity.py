@@ -148,10 +148,9 @@ def _collapsed(tokenised: DataFrame) -> DataFrame:
 def _shaped(vectors: DataFrame) -> DataFrame:
     """``vectors`` with shape_key: equal for equal shared terms, counts, norm and copies."""
     terms = F.transform(
-        "vector", lambda e: F.concat_ws(":", e["term_id"].cast("string"), e["tf"].cast("string"))
+        "vector", lambda e: F.concat_ws(":", e["code"].cast("string"), e["tf"].cast("string"))
     )
-    facts = F.concat_ws("/", "alone", "n_projects")
-    # a term number belongs to one category, so the key does, too
+    facts = F.concat_ws("/", "category", "alone", "n_projects")
     return vectors.withColumn("shape_key", F.unhex(F.sha2(F.concat_ws(",", facts, terms), 256)))
 
 
@@ -170,9 +169,9 @@ def _shapes(shaped: DataFrame, works: DataFrame) -> DataFrame:
     unit = F.transform(
         "vector",
         lambda e: F.struct(
-            e["term_id"].alias("term_id"),
-            (e["weight"] / F.sqrt("total")).alias("weight"),
             e["n_works"].alias("n_works"),
+            e["code"].alias("code"),
+            (e["weight"] / F.sqrt("total")).alias("weight"),
         ),
     )
     return whole.join(sizes, "shape_key").select(
@@ -198,13 +197,13 @@ def _leads(shapes: DataFrame, threshold: float) -> DataFrame:
     entries = shapes.select(
         "shape_id", F.size("vector").alias("n_terms"), F.inline("vector")
     )
-    from_common = W.partitionBy("shape_id").orderBy(F.desc("term_id"))
+    from_common = W.partitionBy("shape_id").orderBy(F.desc("n_works"), F.desc("code"))
     so_far = from_common.rowsBetween(W.unboundedPreceding, W.currentRow)
     square = F.col("weight") * F.col("weight")
     tail = entries.withColumn("tail", F.sum(square).over(so_far))
     return tail.where(F.col("tail") >= threshold * threshold - SLACK).select(
         "shape_id",
-        "term_id",
+        "code",
         "n_terms",
         "weight",
         F.sqrt(F.greatest(F.col("tail") - square, F.lit(0.0))).alias("rest"),
@@ -217,11 +216,11 @@ def _candidates(leads: DataFrame, threshold: float) -> DataFrame:
     A term that leads many shapes has them split into blocks, and each pair of blocks
     meets in a cell of its own, so the comparisons of a hot term spread over many tasks.
     """
-    crowded = leads.groupBy("term_id").agg(F.count("*").alias("n_leads"))
+    crowded = leads.groupBy("code").agg(F.count("*").alias("n_leads"))
     crowded = stored(crowded.where(F.col("n_leads") > CELL_WORKS), "crowded-terms")
     cells = F.ceil(F.coalesce("n_leads", F.lit(1)) / CELL_WORKS).cast("int")
     placed = (
-        attach(leads, crowded, ["term_id"], "n_leads", spread_by="shape_id")
+        attach(leads, crowded, ["code"], "n_leads", spread_by="shape_id")
         .withColumn("blocks", cells)
         .withColumn("block", F.pmod(F.xxhash64("shape_id"), F.col("blocks")).cast("int"))
     )
@@ -230,14 +229,14 @@ def _candidates(leads: DataFrame, threshold: float) -> DataFrame:
         facts = {"shape_id": name, "n_terms": f"n_{name}", "weight": f"w_{name}", "rest": f"rest_{name}"}
         renamed = [F.col(old).alias(new) for old, new in facts.items()]
         return placed.select(
-            "term_id", *renamed, F.col("block").alias(block), F.explode(others).alias(other)
+            "code", *renamed, F.col("block").alias(block), F.explode(others).alias(other)
         )
 
     left = side("a", "row", "column", F.sequence("block", F.col("blocks") - 1))
     right = side("b", "column", "row", F.sequence(F.lit(0), "block"))
     bound = F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b")
     once = (F.col("row") < F.col("column")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["term_id", "row", "column"]).where(
+    met = left.join(right, ["code", "row", "column"]).where(
         once & (bound >= threshold - SLACK)
     )
     first_a = F.struct("n_a", "a") < F.struct("n_b", "b")
@@ -248,20 +247,20 @@ def _candidates(leads: DataFrame, threshold: float) -> DataFrame:
 
 
 def _dot(left: Column, right: Column) -> Column:
-    """Dot product of two vectors given as arrays of (term_id, weight) in the order of term_id.
+    """Dot product of two vectors given as arrays of (n_works, code, weight) in their order.
 
     Put behind one another they are two sorted runs, which the sort merges in linear time;
     a term that both have then stands twice in a row.
     """
     start = F.struct(
-        F.lit(-1).cast("long").alias("term_id"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum")
+        F.lit(0).cast("long").alias("code"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum")
     )
 
     def add(so_far: Column, entry: Column) -> Column:
         product = so_far["weight"] * entry["weight"]
-        same = so_far["term_id"] == entry["term_id"]
+        same = so_far["code"] == entry["code"]
         return F.struct(
-            entry["term_id"].alias("term_id"),
+            entry["code"].alias("code"),
             entry["weight"].alias("weight"),
             (so_far["sum"] + F.when(same, product).otherwise(0.0)).alias("sum"),
         )
@@ -278,11 +277,8 @@ def _verified(candidates: DataFrame, shapes: DataFrame, threshold: float) -> Dat
     """
     ends = candidates.select(F.explode(F.array("short", "long")).alias("shape_id"))
     wanted = ends.groupBy("shape_id").agg(F.count("*").alias("n_candidates"))
-    pairs = F.transform(
-        "vector", lambda e: F.struct(e["term_id"].alias("term_id"), e["weight"].alias("weight"))
-    )
     whole = stored(
-        shapes.select("shape_id", pairs.alias("vector"))
+        shapes.select("shape_id", "vector")
         .join(wanted, "shape_id")
         .select("shape_id", "n_candidates", "vector"),
         "candidate-vectors",

@@ -1,11 +1,11 @@
-"""Terms of works coded as integers, and each work's vector as arrays sorted by rarity.
+"""Terms of works coded as integers, and each work's vector as an array sorted by rarity.
 
 A term is a word or two neighbouring words, within a category. It is known by two 64-bit
-hashes, made from the hashes of its words, so no term text is built, sorted or shuffled. One
-pass counts the first hash alone over the distinct terms of each work; what stands in one work
-only needs no more. The rest are counted exactly by both hashes, and numbered by rarity in a
-stored dictionary: a smaller number is a rarer term, so sorted numbers are the order in which
-vectors are compared.
+hashes, made from the hashes of its words, so no term text is built, sorted or shuffled. The
+first hash is the term's code. A stored dictionary holds the codes that two or more works have,
+with the number of works and projects; what stands in one work only goes no further. The order
+of vectors is by number of works and code, rarest first. Where terms share a code, which their
+second hashes show, these terms are counted again one by one and get codes of their own.
 """
 
 from __future__ import annotations
@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from worksight.operators.keyed_join import attach
 from worksight.sources.scratch import stored
 
+# Bits of the codes; fewer make them clash, which costs time and changes no result.
+CODE_BITS = 64
+# A dictionary of up to so many rows, three integers each, is broadcast.
+BROADCAST_CODES = 1_000_000
+
 
 def _hashed(works: DataFrame) -> DataFrame:
-    """``works`` with high and low, arrays of the two hashes of all terms in text order."""
+    """``works`` with code and check, arrays of the two hashes of all terms in text order."""
 
     def of_words(seed: int) -> Column:
         return F.transform("tokens", lambda word: F.xxhash64(F.lit(seed), "category", word))
@@ -35,12 +40,17 @@ def _hashed(works: DataFrame) -> DataFrame:
     return (
         works.withColumn("tokens", F.split("words", " "))
         .withColumns({"h": of_words(1), "l": of_words(2)})
-        .withColumns({"high": with_pairs("h", 1), "low": with_pairs("l", 2)})
+        .withColumns({"code": with_pairs("h", 1), "check": with_pairs("l", 2)})
+        .withColumn("code", F.transform("code", _cut) if CODE_BITS < 64 else F.col("code"))
         .drop("words", "tokens", "h", "l")
     )
 
 
-def _squared_counts(high: Column) -> Column:
+def _cut(code: Column) -> Column:
+    return F.shiftright(code, 64 - CODE_BITS)
+
+
+def _squared_counts(terms: Column) -> Column:
     """Sum of the squared term counts of a row, by runs of its sorted terms."""
     long = F.lit(0).cast("long")
     start = F.struct(long.alias("term"), long.alias("run"), long.alias("sum"))
@@ -52,44 +62,95 @@ def _squared_counts(high: Column) -> Column:
             term.alias("term"), (run + 1).alias("run"), (so_far["sum"] + run * 2 + 1).alias("sum")
         )
 
-    return F.aggregate(F.sort_array(high), start, step, lambda end: end["sum"])
+    return F.aggregate(F.sort_array(terms), start, step, lambda end: end["sum"])
 
 
-def shared_postings(works: DataFrame) -> DataFrame:
-    """work_id, n_projects, high, low, tf: terms whose first hash two or more works have.
+def term_dictionary(works: DataFrame) -> DataFrame:
+    """code, n_works, df (projects) of the codes that two or more works have.
 
-    ``works`` has category, work_id, n_projects and words. A hash collision can let a term of
-    one work through; the dictionary, which goes by both hashes, drops it again.
+    ``works`` has category, work_id, n_projects and words.
     """
-    hashed = _hashed(works)
-    several = stored(
-        hashed.select(F.explode(F.array_distinct("high")).alias("high"))
-        .groupBy("high")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > 1),
-        "shared-hashes",
+    distinct = _hashed(works).select(
+        "n_projects", F.explode(F.array_distinct("code")).alias("code")
     )
-    occurrences = hashed.select(
-        "work_id", "n_projects", F.inline(F.arrays_zip("high", "low"))
-    )
-    return (
-        attach(occurrences, several, ["high"], "n", spread_by="work_id", how="inner")
-        .groupBy("work_id", "high", "low")
-        .agg(F.any_value("n_projects").alias("n_projects"), F.count("*").alias("tf"))
+    counted = distinct.groupBy("code").agg(
+        F.count("*").alias("n_works"), F.sum("n_projects").alias("df")
     )
+    return counted.where(F.col("n_works") > 1)
 
 
-def term_dictionary(postings: DataFrame) -> DataFrame:
-    """high, low, term_id, df (projects), n_works of terms that two or more works have.
+def _entries(postings: DataFrame) -> DataFrame:
+    """One row per work: entries, an array of n_works, code, check, tf, df, rarest first."""
+    entry = F.struct("n_works", "code", "check", "tf", "df")
+    return postings.groupBy("work_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
-    ``term_id`` rises with n_works: the sort spreads over tasks, and the numbers follow the
-    order of its partitions.
+
+def shared_terms(works: DataFrame) -> DataFrame:
+    """work_id and entries of the terms each work has in common with others.
+
+    The occurrences of a work are brought together once, counted and collected there.
     """
-    counted = postings.groupBy("high", "low").agg(
-        F.sum("n_projects").alias("df"), F.count("*").alias("n_works")
+    dictionary = stored(term_dictionary(works), "term-dictionary")
+    occurrences = _hashed(works).select("work_id", F.inline(F.arrays_zip("code", "check")))
+    postings = (
+        attach(
+            occurrences,
+            dictionary,
+            ["code"],
+            "n_works",
+            spread_by="work_id",
+            how="inner",
+            small=dictionary.count() <= BROADCAST_CODES,
+            hashed=True,
+        )
+        .repartition("work_id")
+        .groupBy("work_id", "code", "check")
+        .agg(
+            F.count("*").alias("tf"),
+            F.any_value("n_works").alias("n_works"),
+            F.any_value("df").alias("df"),
+        )
+    )
+    entries = stored(_entries(postings), "shared-terms")
+    listed = entries.select("work_id", F.inline("entries"))
+    clashing = (
+        listed.groupBy("code")
+        .agg(F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("n"))
+        .where(F.col("low") != F.col("high"))
+        .select("code", "n", F.lit(True).alias("clashes"))
     )
-    ordered = counted.where(F.col("n_works") > 1).orderBy("n_works", "high", "low")
-    return ordered.withColumn("term_id", F.monotonically_increasing_id())
+    clashing = stored(clashing, "clashing-codes")
+    return entries if clashing.isEmpty() else _recounted(listed, clashing, works)
+
+
+def _recounted(listed: DataFrame, clashing: DataFrame, works: DataFrame) -> DataFrame:
+    """Entries in which terms of one code are told apart."""
+    marked = attach(listed, clashing, ["code"], "n", spread_by="work_id")
+    marked = stored(marked.drop("n"), "marked-terms")
+    apart = marked.where("clashes")
+    sizes = works.select("work_id", "n_projects")
+    counted = (
+        apart.join(sizes, "work_id")
+        .groupBy("code", "check")
+        .agg(F.count("*").alias("works"), F.sum("n_projects").alias("projects"))
+    )
+    known = attach(
+        apart.drop("clashes", "n_works", "df"),
+        stored(counted.where(F.col("works") > 1), "recounted-terms"),
+        ["code", "check"],
+        "works",
+        spread_by="work_id",
+        how="inner",
+    ).select(
+        "work_id",
+        F.xxhash64("code", "check").alias("code"),
+        "check",
+        "tf",
+        F.col("works").alias("n_works"),
+        F.col("projects").alias("df"),
+    )
+    rest = marked.where("clashes is null").drop("clashes")
+    return _entries(rest.unionByName(known))
 
 
 def _idf(n_docs: Column, df: Column) -> Column:
@@ -100,43 +161,49 @@ def work_vectors(works: DataFrame, least: float) -> DataFrame:
     """One row for each work whose shared terms make up ``least`` of its squared norm or more.
 
     ``works`` has category, work_id, n_projects, n_docs (projects of its category) and words.
-    Columns: category, work_id, n_projects, vector (array of term_id, tf, weight, n_works;
-    rarest first, weights before normalisation), shared (its squared norm) and total (with the
-    terms no other work has, which all weigh the same per count and add to no dot product).
+    Columns: category, work_id, n_projects, vector (array of n_works, code, tf, weight; rarest
+    first, weights before normalisation), shared (its squared norm), alone (squared counts of
+    the terms no other work has, which all weigh the same per count and add to no dot product)
+    and total (the whole squared norm).
     """
-    postings = stored(shared_postings(works), "postings")
-    dictionary = stored(term_dictionary(postings), "term-dictionary")
-    known = attach(
-        postings, dictionary, ["high", "low"], "n_works", spread_by="work_id", how="inner"
-    )
-    entries = known.groupBy("work_id").agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "tf", "df", "n_works"))).alias("entries")
-    )
     lengths = _hashed(works).select(
-        "category", "work_id", "n_projects", "n_docs", _squared_counts(F.col("high")).alias("squares")
+        "category",
+        "work_id",
+        "n_projects",
+        "n_docs",
+        _squared_counts(F.col("check")).alias("squares"),
     )
 
     def weighed(entry: Column) -> Column:
         return F.struct(
-            entry["term_id"].alias("term_id"),
+            entry["n_works"].alias("n_works"),
+            entry["code"].alias("code"),
             entry["tf"].alias("tf"),
             (entry["tf"] * _idf(F.col("n_docs"), entry["df"])).alias("weight"),
-            entry["n_works"].alias("n_works"),
         )
 
-    def summed(value) -> Column:
-        zero = F.lit(0.0)
-        return F.aggregate("vector", zero, lambda total, entry: total + value(entry))
+    def summed(start: Column, value) -> Column:
+        return F.aggregate("vector", start, lambda total, entry: total + value(entry))
 
     own_idf = _idf(F.col("n_docs"), F.col("n_projects"))
-    alone = F.col("squares") - F.col("shared_squares")
+    shared = summed(F.lit(0.0), lambda e: e["weight"] * e["weight"])
+    shared_squares = summed(F.lit(0).cast("long"), lambda e: e["tf"] * e["tf"])
+    facts = F.struct(
+        "category",
+        "work_id",
+        "n_projects",
+        (F.col("squares") - shared_squares).alias("alone"),
+        (own_idf * own_idf).alias("own_square"),
+        "vector",
+        shared.alias("shared"),
+    )
+    weighted = lengths.join(shared_terms(works), "work_id")
+    weighted = weighted.withColumn("vector", F.transform("entries", weighed))
+    total = F.col("shared") + F.col("alone") * F.col("own_square")
+    # out of an array: Spark would push the filter down as a second evaluation of all of it
     return (
-        lengths.join(entries, "work_id")
-        .withColumn("vector", F.transform("entries", weighed))
-        .withColumn("shared", summed(lambda e: e["weight"] * e["weight"]))
-        .withColumn("shared_squares", summed(lambda e: (e["tf"] * e["tf"]).cast("double")))
-        .withColumn("alone", alone.cast("long"))
-        .withColumn("total", F.col("shared") + F.col("alone") * own_idf * own_idf)
+        weighted.select(F.inline(F.array(facts)))
+        .withColumn("total", total)
         .where(F.col("shared") >= F.lit(least) * F.col("total"))
-        .select("category", "work_id", "n_projects", "alone", "vector", "shared", "total")
+        .drop("own_square")
     )

@@ -17,7 +17,7 @@ from worksight.functions.numeric import round_scaled  # noqa: E402
 from worksight.operators import overlay, profile, signals, similarity  # noqa: E402
 from worksight.plans import investigation, reads, reports, risk  # noqa: E402
 from worksight.plans.sample_views import part_projects, supplier_projects  # noqa: E402
-from worksight.sources import schema, scratch, tables  # noqa: E402
+from worksight.sources import schema, scratch, snapshots, tables  # noqa: E402
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -128,6 +128,80 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_csv(spark, path)
 
 
+def _surveyed(spark, sf_dir):
+    """Projects with columns of another survey, which no layout names."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    survey = part.select(
+        F.col("p_partkey").cast("string").alias("project_id"),
+        F.col("p_size").alias("site_size"),
+        F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("site_price"),
+        (F.col("p_size") > 25).alias("large_site"),
+        F.concat("p_name", F.lit(", "), "p_brand").alias("location"),
+    )
+    return _projects(spark, sf_dir).join(survey, "project_id")
+
+
+def csv_extra_columns(spark, sf_dir):
+    path = scratch.output_path(spark, "surveyed-csv")
+    tables.write_csv(_surveyed(spark, sf_dir), path)
+    return tables.read_csv(spark, path)
+
+
+def csv_row_numbers(spark, sf_dir):
+    """Rows of a folder of files, numbered in the order of the files."""
+    path = scratch.output_path(spark, "ordered-csv")
+    ordered = _ordered_projects(spark, sf_dir).repartitionByRange(5, "row_seq")
+    tables.write_csv(ordered.sortWithinPartitions("row_seq").drop("row_seq"), path)
+    return tables.read_csv(spark, path, with_row_seq=True).select("project_id", "row_seq")
+
+
+def _faulty_csv(spark, sf_dir):
+    """Signals as CSV lines of which some lack a cell, have one too many or a wrong one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    line = F.concat_ws(",", key, F.col("p_size") + 50, F.col("p_size") % 9)
+    line = F.when(key % 11 == 0, line).otherwise(F.concat(line, F.lit(",True")))
+    line = F.when(key % 13 == 0, F.concat(line, F.lit(",?"))).otherwise(line)
+    line = F.when(key % 17 == 0, F.regexp_replace(line, ",", ",n")).otherwise(line)
+    path = scratch.output_path(spark, "faulty-csv")
+    whole = part.select(line.alias(",".join(schema.SIGNAL_SCHEMA.names)))
+    whole.write.option("header", True).option("sep", "\x01").csv(path)
+    return tables.read_csv_checked(spark, path, schema.SIGNAL_SCHEMA)
+
+
+def csv_sound_rows(spark, sf_dir):
+    return _once(spark, sf_dir, "faulty", lambda: _faulty_csv(spark, sf_dir)).rows
+
+
+def csv_faults(spark, sf_dir):
+    checked = _once(spark, sf_dir, "faulty", lambda: _faulty_csv(spark, sf_dir))
+    return checked.faults.select("record", "reason")
+
+
+def signal_csv_round_trip(spark, sf_dir):
+    path = scratch.output_path(spark, "signals-csv")
+    tables.write_csv(part_duplicate_signals(spark, sf_dir), path)
+    return tables.read_csv(spark, path, schema.SIGNAL_SCHEMA)
+
+
+def table_versions(spark, sf_dir):
+    """Two versions of a table, read while the newer one is there: rows and sums of each."""
+    path = scratch.output_path(spark, "versions")
+    projects = _projects(spark, sf_dir)
+    snapshots.publish(projects.where("planned_duration_days < 200"), path)
+    old = snapshots.load(spark, path)
+    snapshots.publish(projects, path)
+
+    def figures(df, version):
+        return df.agg(
+            F.lit(version).cast("long").alias("version"),
+            F.count("*").alias("n_rows"),
+            F.sum("elapsed_days").alias("elapsed_days"),
+        )
+
+    return figures(old, 1).unionByName(figures(snapshots.load(spark, path), 2))
+
+
 def overlay_update(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     region = spark.read.parquet(f"{sf_dir}/region.parquet")
@@ -226,6 +300,14 @@ def similar_document_works(spark, sf_dir):
     return _work_pairs(_similar_documents(spark, sf_dir))
 
 
+def similar_part_classes(spark, sf_dir):
+    return similarity.similar_classes(_similar_parts(spark, sf_dir))
+
+
+def similar_document_classes(spark, sf_dir):
+    return similarity.similar_classes(_similar_documents(spark, sf_dir))
+
+
 def part_copy_groups(spark, sf_dir):
     return similarity.copy_groups(_similar_parts(spark, sf_dir))
 
@@ -257,6 +339,10 @@ def top_similar_documents(spark, sf_dir):
     )
 
 
+def described_part_pairs(spark, sf_dir):
+    return similarity.described_pairs(_similar_parts(spark, sf_dir), _projects(spark, sf_dir))
+
+
 def part_duplicate_signals(spark, sf_dir):
     return similarity.project_signals(_similar_parts(spark, sf_dir))
 
@@ -356,6 +442,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         numeric_profile,
         repeated_line_keys,
         csv_round_trip,
+        csv_extra_columns,
+        csv_row_numbers,
+        csv_sound_rows,
+        csv_faults,
+        signal_csv_round_trip,
+        table_versions,
         overlay_update,
         appended_projects,
         appended_category_counts,
@@ -367,12 +459,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         spending_top20,
         spending_report_lines,
         similar_part_works,
+        similar_part_classes,
         part_copy_groups,
         part_pair_count,
         top_similar_parts,
+        described_part_pairs,
         part_duplicate_signals,
         signals_of_pairs,
         similar_document_works,
+        similar_document_classes,
         document_copy_groups,
         document_pair_count,
         top_similar_documents,

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.numeric import no_nan, round_scaled
+from worksight.sources.scratch import stored
 
 # Profiled columns and quantiles.
 PROFILE_COLUMNS = [
@@ -37,10 +38,16 @@ def head(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
-def _brackets(
-    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]
-) -> list[tuple[str, str, float, float, float, int]]:
-    """metric, stat, quantile, lower and upper end, count: one small row from one pass.
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """metric, x: every number of the columns, NaN as missing."""
+    cells = [
+        F.struct(F.lit(c).alias("metric"), no_nan(F.col(c)).cast("double").alias("x")) for c in columns
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def _facts(numbers: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """One row for each metric: moments, and ends that bracket each quantile.
 
     An approximate quantile is off by n / ACCURACY ranks at most, so the ends lie around
     the exact one, or one rank beside it in a small column.
@@ -49,103 +56,114 @@ def _brackets(
     shares = [
         share for q in quantiles.values() for share in (max(0.0, q - margin), min(1.0, q + margin))
     ]
-    numbers = {c: no_nan(F.col(c)).cast("double") for c in columns}
-    row = df.agg(
-        *(F.percentile_approx(x, shares, ACCURACY).alias(f"ends {c}") for c, x in numbers.items()),
-        *(F.count(x).alias(f"n {c}") for c, x in numbers.items()),
-    ).first()
-    return [
-        (c, stat, q, row[f"ends {c}"][2 * k], row[f"ends {c}"][2 * k + 1], row[f"n {c}"])
-        for c in columns
-        if row[f"n {c}"]
-        for k, (stat, q) in enumerate(quantiles.items())
-    ]
+    x = F.col("x")
+    return numbers.groupBy("metric").agg(
+        F.count(x).alias("count"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.percentile_approx(x, shares, ACCURACY).alias("ends"),
+    )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]
-) -> DataFrame:
-    """Exact quantiles (linear between neighbours): metric, stat, value.
+def _counted(numbers: DataFrame, facts: DataFrame, n_quantiles: int) -> DataFrame:
+    """metric, low, high, n: values inside a bracket one by one, all others by stretch.
 
-    One pass brackets each quantile by approximate ones. A second one counts what lies
-    below a bracket, and only the few values inside it are grouped and ranked, so neither a
-    shuffle nor a task holds a whole column, as the built-in ``percentile`` would.
+    Tasks count before anything is sent, so a stretch between brackets is one row a task.
     """
-    brackets = _brackets(df, columns, quantiles)
-    if not brackets:
-        return df.sparkSession.createDataFrame([], "metric string, stat string, value double")
-    numbers = {c: no_nan(F.col(c)).cast("double") for c in columns}
-    below, inside = [], []
-    for k, (c, _, _, low, high, _) in enumerate(brackets):
-        x = numbers[c]
-        below += [
-            F.count(F.when(x < low, x)).alias(f"below {k}"),
-            F.max(F.when(x < low, x)).alias(f"before {k}"),
-            F.min(F.when(x > high, x)).alias(f"behind {k}"),
-        ]
-        inside.append(F.when((x >= low) & (x <= high), F.struct(F.lit(k).alias("k"), x.alias("value"))))
-    facts = [
-        F.struct(
-            F.lit(k).alias("k"),
-            F.lit(c).alias("metric"),
-            F.lit(stat).alias("stat"),
-            F.lit(q * (n - 1)).alias("at"),
-            *(F.col(f"`{name} {k}`").alias(name) for name in ("below", "before", "behind")),
-        )
-        for k, (c, stat, q, _, _, n) in enumerate(brackets)
-    ]
-    around = df.agg(*below).select(F.inline(F.array(*facts)))
-    counted = (
-        df.select(F.explode(F.filter(F.array(*inside), lambda hit: hit.isNotNull())).alias("hit"))
-        .groupBy("hit.k", "hit.value")
-        .agg(F.count("*").alias("n"))
+    x = F.col("x")
+    ends = [(F.get("ends", F.lit(2 * k)), F.get("ends", F.lit(2 * k + 1))) for k in range(n_quantiles)]
+    inside, stretch = F.lit(False), F.lit(0)
+    for low, high in ends:
+        inside = inside | ((x >= low) & (x <= high))
+        stretch = stretch + (x > high).cast("int")
+    known = F.broadcast(facts.select("metric", "ends"))  # one row for each metric
+    placed = numbers.where(x.isNotNull()).join(known, "metric")
+    keys = [F.col("metric"), F.when(~inside, stretch).alias("stretch"), F.when(inside, x).alias("value")]
+    counted = placed.groupBy(*keys).agg(
+        F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n")
     )
-    up_to = W.partitionBy("k").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        counted.withColumn("end", F.sum("n").over(up_to))
-        .join(F.broadcast(around), "k")  # one row for each metric and quantile
-        .withColumn("end", F.col("end") + F.col("below"))
+    return counted.select("metric", "low", "high", "n")
+
+
+def _ranked(counted: DataFrame) -> DataFrame:
+    """``counted`` with end, the rank behind each row's last value in its metric.
+
+    Rows are dealt out by a range of values, and each part starts at the sum of the parts
+    before it, so no task sees more than its share of a bracket.
+    """
+    dealt = counted.repartitionByRange("metric", "low").withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "profile-counts")
+    parts = dealt.groupBy("metric", "part").agg(F.sum("n").alias("in_part"))
+    before = W.partitionBy("metric").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(
+        "metric", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start")
     )
+    up_to = W.partitionBy("metric", "part").orderBy("low").rowsBetween(W.unboundedPreceding, 0)
+    return dealt.withColumn("end", F.sum("n").over(up_to)).join(
+        F.broadcast(starts), ["metric", "part"]  # one row for each metric and part
+    ).select("metric", "low", "high", "n", (F.col("start") + F.col("end")).alias("end"))
+
+
+def _quantiles(numbers: DataFrame, facts: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    wanted = [
+        F.struct(F.lit(stat).alias("stat"), (F.lit(q) * (F.col("count") - 1)).alias("at"))
+        for stat, q in quantiles.items()
+    ]
+    # one row for each metric and quantile
+    asked = facts.select("metric", F.inline(F.array(*wanted)))
+    ranked = _ranked(_counted(numbers, facts, len(quantiles)))
+    met = ranked.join(F.broadcast(asked.where("at >= 0")), "metric")
+    first = F.col("end") - F.col("n")
 
     def at_rank(rank: Column) -> Column:
-        held = (rank >= F.col("end") - F.col("n")) & (rank < F.col("end"))
-        return F.max(F.when(held, F.col("value")))
+        value = (
+            F.when(F.col("low") == F.col("high"), F.col("low"))
+            .when(rank == first, F.col("low"))
+            .when(rank == F.col("end") - 1, F.col("high"))
+            .otherwise(F.raise_error(F.lit("a quantile outside its bracket")).cast("double"))
+        )
+        return F.max(F.when((rank >= first) & (rank < F.col("end")), value))
 
-    share = F.col("at") - F.floor("at")
-    lower = F.coalesce(at_rank(F.floor("at")), F.any_value("before"))
-    upper = F.coalesce(at_rank(F.ceil("at")), F.any_value("behind"))
-    found = ranked.groupBy("metric", "stat", "at").agg(
-        lower.alias("lower"), upper.alias("upper")
+    found = met.groupBy("metric", "stat", "at").agg(
+        at_rank(F.floor("at")).alias("lower"), at_rank(F.ceil("at")).alias("upper")
     )
+    share = F.col("at") - F.floor("at")
     return found.select(
         "metric", "stat", (F.col("lower") + (F.col("upper") - F.col("lower")) * share).alias("value")
     )
 
 
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]
+) -> DataFrame:
+    """Exact quantiles (linear between neighbours): metric, stat, value; none without numbers.
+
+    Two scans. The first brackets each quantile by approximate ones; the second counts values
+    inside a bracket one by one and all others by stretch, and ranks follow from the counts.
+    Neither a shuffle nor a task holds a whole column, as the built-in ``percentile`` would.
+    """
+    numbers = _long(df, columns)
+    facts = stored(_facts(numbers, quantiles), "profile-facts")
+    return _quantiles(numbers, facts, quantiles)
+
+
 def numeric_profile(
     df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, digits: int = 2
 ) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per statistic, rounded."""
-    numbers = {c: no_nan(F.col(c)) for c in columns}
-    moments = {
-        "count": lambda x: F.count(x).cast("double"),
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-    }
-    one_row = df.agg(
-        *(of(x).alias(f"{stat} {c}") for stat, of in moments.items() for c, x in numbers.items())
-    )
-    rows = [
-        F.struct(
-            F.lit(stat).alias("stat"), *(F.col(f"`{stat} {c}`").alias(c) for c in columns)
-        )
-        for stat in moments
+    """count, mean, std, min, quartiles and max, one row per statistic, rounded.
+
+    The moments come out of the scan that brackets the quartiles.
+    """
+    numbers = _long(df, columns)
+    facts = stored(_facts(numbers, QUARTILES), "profile-facts")
+    moments = [
+        F.struct(F.lit(stat).alias("stat"), F.col(stat).cast("double").alias("value"))
+        for stat in ("count", "mean", "std", "min", "max")
     ]
-    quartiles = exact_quantiles(df, columns, QUARTILES)
-    wide = quartiles.groupBy("stat").pivot("metric", list(columns)).agg(F.first("value"))
-    profile = one_row.select(F.inline(F.array(*rows))).unionByName(wide)
-    return profile.select(
-        "stat", *(round_scaled(F.col(c), digits).alias(c) for c in columns)
+    long = facts.select("metric", F.inline(F.array(*moments))).unionByName(
+        _quantiles(numbers, facts, QUARTILES)
     )
+    wide = long.groupBy("stat").pivot("metric", list(columns)).agg(F.first("value"))
+    return wide.select("stat", *(round_scaled(F.col(c), digits).alias(c) for c in columns))

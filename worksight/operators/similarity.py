@@ -27,7 +27,7 @@ from worksight.functions.text import STOP_WORDS, word_tokens
 from worksight.operators.components import components
 from worksight.operators.keyed_join import attach
 from worksight.operators.terms import work_vectors
-from worksight.sources.schema import require_columns
+from worksight.sources.schema import PAIR_SCHEMA, require_columns
 from worksight.sources.scratch import stored
 
 # Shapes that share a lead term meet in cells of at most about this many by this many.
@@ -601,6 +601,26 @@ def _described(pairs: DataFrame, projects: DataFrame, id_col: str, text_col: str
     )
 
 
+def described_pairs(
+    similar: SimilarWorks,
+    projects: DataFrame,
+    *,
+    id_col: str = "project_id",
+    text_col: str = "work_description",
+) -> DataFrame:
+    """All pairs of similar works, each by its first projects and with both descriptions.
+
+    Columns as in PAIR_SCHEMA; texts are joined to the pairs found, not to candidates.
+    """
+    pairs = similar.pairs.select(
+        F.col("work_1").alias("project_1"),
+        F.col("work_2").alias("project_2"),
+        "category",
+        "similarity_pct",
+    )
+    return _described(pairs, projects, id_col, text_col).select(*PAIR_SCHEMA.names)
+
+
 def _oriented_pairs(met: DataFrame) -> DataFrame:
     """Rows of two projects p and q (struct of seq, project_id), the earlier one first."""
     first, second = F.least("p", "q"), F.greatest("p", "q")

@@ -200,11 +200,32 @@ WORK_PAIRS = """SELECT id_1 AS project_1, id_2 AS project_2, sim.cat AS category
 COPY_GROUPS = """SELECT first_id AS first_project, cat AS category, n_projects,
         n_projects * (n_projects - 1) // 2 AS n_pairs, 100::DOUBLE AS similarity_pct
     FROM works WHERE n_projects > 1"""
+CLASSES = """SELECT min_by(t.cat, t.seq) AS category, min_by(t.id, t.seq) AS class_id,
+        count(DISTINCT t.words) AS n_works, count(*) AS n_projects,
+        any_value(n_links) AS n_links, any_value(strongest_pct) AS strongest_pct
+    FROM tok t
+        JOIN (WITH RECURSIVE edges AS MATERIALIZED (
+                SELECT seq_1 AS a, seq_2 AS b FROM sim UNION SELECT seq_2, seq_1 FROM sim),
+            reach AS (SELECT a, b FROM edges
+                UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+            SELECT a AS seq, min(b) AS root FROM reach GROUP BY 1) USING (seq)
+        JOIN (WITH RECURSIVE edges AS MATERIALIZED (
+                SELECT seq_1 AS a, seq_2 AS b FROM sim UNION SELECT seq_2, seq_1 FROM sim),
+            reach AS (SELECT a, b FROM edges
+                UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+            SELECT root, count(*) AS n_links, max(similarity_pct) AS strongest_pct
+            FROM sim JOIN (SELECT a, min(b) AS root FROM reach GROUP BY 1) ON a = seq_1
+            GROUP BY 1) USING (root)
+    GROUP BY root"""
 PAIR_COUNT = "SELECT count(*) AS n_pairs FROM sim"
 TOP_20 = """SELECT id_1 AS project_1, id_2 AS project_2, sim.cat AS category,
         similarity_pct, a.txt AS description_1, b.txt AS description_2
     FROM sim JOIN docs a ON a.id = id_1 JOIN docs b ON b.id = id_2
     ORDER BY similarity_pct DESC, sim.cat, seq_1, seq_2 LIMIT 20"""
+DESCRIBED_PAIRS = """SELECT id_1 AS project_1, id_2 AS project_2, sim.cat AS category,
+        similarity_pct, x.txt AS description_1, y.txt AS description_2
+    FROM sim JOIN works a ON a.first_id = id_1 JOIN works b ON b.first_id = id_2
+        JOIN docs x ON x.id = id_1 JOIN docs y ON y.id = id_2"""
 SIGNALS = "SELECT * FROM signals"
 PAIR_SIGNALS = f"""SELECT id AS project_id, max(similarity_pct) AS max_similarity_pct,
         count(*) AS similar_project_count, true AS duplicate_signal
@@ -336,6 +357,36 @@ def statements() -> dict[str, str]:
         "csv_round_trip": f"""WITH {PROJ}
             SELECT {ALL_COLUMNS.replace(" state,", " nullif(state, '') AS state,")}
             FROM proj""",
+        "csv_extra_columns": f"""WITH {PROJ}
+            SELECT {ALL_COLUMNS.replace(" state,", " nullif(state, '') AS state,")},
+                p_size::BIGINT AS site_size,
+                CASE WHEN p_size % 7 != 0 THEN p_retailprice END AS site_price,
+                p_size > 25 AS large_site, p_name || ', ' || p_brand AS location
+            FROM proj JOIN part ON project_id = p_partkey::VARCHAR""",
+        "csv_row_numbers": f"""WITH {PROJ} SELECT project_id,
+            row_number() OVER (ORDER BY row_seq) - 1 AS row_seq FROM proj""",
+        "csv_sound_rows": """SELECT p_partkey::VARCHAR AS project_id,
+                (p_size + 50)::DOUBLE AS max_similarity_pct,
+                (p_size % 9)::BIGINT AS similar_project_count, true AS duplicate_signal
+            FROM part WHERE p_partkey % 11 != 0 AND p_partkey % 13 != 0
+                AND p_partkey % 17 != 0""",
+        "csv_faults": """SELECT * FROM (SELECT p_partkey || sep || p_size + 50 || sep || p_size % 9
+                    || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE sep || 'True' END
+                    || CASE WHEN p_partkey % 13 = 0 THEN sep || '?' ELSE '' END AS record,
+                CASE WHEN (p_partkey % 11 = 0) != (p_partkey % 13 = 0)
+                        THEN 'wrong number of cells'
+                    WHEN p_partkey % 17 = 0
+                        THEN 'not double: max_similarity_pct = n' || p_size + 50
+                    WHEN p_partkey % 143 = 0 THEN 'not boolean: duplicate_signal = ?'
+                END AS reason
+            FROM (SELECT *, CASE WHEN p_partkey % 17 = 0 THEN ',n' ELSE ',' END AS sep
+                FROM part)) WHERE reason IS NOT NULL""",
+        "signal_csv_round_trip": parts + SIGNALS,
+        "table_versions": f"""WITH {PROJ} SELECT 1::BIGINT AS version, count(*) AS n_rows,
+                sum(elapsed_days)::BIGINT AS elapsed_days
+            FROM proj WHERE planned_duration_days < 200
+            UNION ALL SELECT 2, count(*), sum(elapsed_days)::BIGINT FROM proj""",
+        "described_part_pairs": parts + DESCRIBED_PAIRS,
         "overlay_update": f"""WITH {PROJ}, specs AS (
             SELECT unnest([n_nationkey * 30 + 1, n_nationkey * 30 + 2])::VARCHAR AS id,
                 unnest([' at ', ' in ']) AS link, r_name, n_name
@@ -386,12 +437,14 @@ def statements() -> dict[str, str]:
         "similar_part_works": parts + WORK_PAIRS,
         "part_copy_groups": parts + COPY_GROUPS,
         "part_pair_count": parts + PAIR_COUNT,
+        "similar_part_classes": parts + CLASSES,
         "top_similar_parts": parts + TOP_20,
         "part_duplicate_signals": parts + SIGNALS,
         "signals_of_pairs": texts + PAIR_SIGNALS,
         "similar_document_works": texts + WORK_PAIRS,
         "document_copy_groups": texts + COPY_GROUPS,
         "document_pair_count": texts + PAIR_COUNT,
+        "similar_document_classes": texts + CLASSES,
         "top_similar_documents": texts + TOP_20,
         "document_duplicate_signals": texts + SIGNALS,
         "risk_scores": risk + rounded_rows.format(rows=risk_rows),

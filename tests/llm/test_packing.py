@@ -13,8 +13,7 @@ TEXTS = ["Hello, World! it's 12 o'clock", None, "", "Été İ, naïve ΣΣ x 
 
 
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(PATH)  # the plain call, which finds special tokens
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -24,6 +23,25 @@ def test_ids_of_single_words():
         assert np.frombuffer(data, "<u4").tolist() == ids_of(text)
 
 
+def test_ids_of_random_texts():
+    """Decomposed and odd capitals, marks after anything, special tokens, odd white space."""
+    pool = list("abcTJWHIS'’.,!?-_ \t\n\x0b\x85\u3000 \x1c") + [chr(c) for c in range(0x300, 0x345)]
+    pool += ["İ", "ß", "ẞ", "Σ", "ſ", "Ⅷ", "ﬁ", "日", "É", "É", "٣", "²", "'S", "'s", "ᄀ", "ᅡ", "ᆨ"]
+    pool += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "क", "़", "😀"]
+    random = np.random.default_rng(5)
+    texts = ["".join(random.choice(pool, random.integers(0, 16))) for _ in range(4_000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    words = packing.WordIds(PATH)
+    for text, data in zip(texts, words.encode(texts, 2), strict=True):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(data, "<u4").tolist() == [*ids, 2]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="no lower-casing tokenizer"):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(1) == [1]
     assert packing.piece_lengths(4096) == [4096]

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import functools
 import gc
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,15 +39,31 @@ CACHED_WORDS = 400_000
 class WordIds:
     """Ids of texts by a lower-casing tokenizer that splits at white space and drops it.
 
-    Such a tokenizer treats each word alone, so every distinct word is encoded once. A run
-    of letters followed by ASCII punctuation is encoded as these two, as the tokenizer's
-    pattern does; runs of letters are encoded many at a time and told apart by their last
-    token, which carries the word end.
+    Such a tokenizer treats each word alone, so every distinct word is encoded once. Words of
+    ASCII alone count as one whatever their case; others keep it, since the tokenizer composes
+    characters before it lower-cases them. A run of letters followed by ASCII punctuation is
+    encoded as these two, as the tokenizer's pattern does; runs of letters are encoded many at
+    a time and told apart by their last token, which carries the word end. Special tokens that
+    stand in a text are found as the tokenizer finds them. A file of another kind is refused.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if (
+            [step["type"] for step in steps] != ["NFC", "Replace", "Lowercase"]
+            or (steps[1]["pattern"], steps[1]["content"]) != ({"Regex": r"\s+"}, " ")
+            or (cut.get("type"), cut.get("behavior"), cut.get("invert")) != ("Split", "Removed", True)
+            or spec["post_processor"]
+            or spec["model"].get("end_of_word_suffix") != WORD_END
+            or any(re.search(r"\s", token["content"]) for token in spec["added_tokens"])
+        ):
+            raise ValueError(f"{path} is no lower-casing tokenizer that treats words alone")
+        # the first letters of special tokens, whose case matters
+        self.special = {token["content"][:2] for token in spec["added_tokens"]}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
@@ -76,7 +94,7 @@ class WordIds:
             text = word.decode()
             letters = text.rstrip(PUNCTUATION)
             # some capitals become a letter and a mark, which joins what follows
-            if letters.isalpha() and letters.lower().isalpha():
+            if letters.isalpha() and (letters.isascii() or letters.lower().isalpha()):
                 rest = text[len(letters) :]
                 made_of.append((runs[letters], others[rest] if rest else -1))
             else:
@@ -88,10 +106,19 @@ class WordIds:
         for word, (run, other) in zip(words, made_of, strict=True):
             self.known[word] = run_ids[run] + other_ids[other]
 
+    def _split(self, text: str) -> list[bytes]:
+        """Words at ASCII white space, those that are ASCII alone in lower case."""
+        data = text.encode()
+        if any(start in text for start in self.special):
+            return data.split()
+        if text.isascii():
+            return data.lower().split()
+        return [word.lower() if word.isascii() else word for word in data.split()]
+
     def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text and the end id."""
         end = np.array([end_id], "<u4").tobytes()
-        words = [text.encode().lower().split() for text in texts]  # at ASCII white space
+        words = [self._split(text) for text in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,28 @@ def in_slices(
             yield batch.slice(start, step)
 
 
+# The operator that this Python worker last worked for, and what drops its caches.
+_worker: dict[str, object] = {"owner": None, "clear": None}
+
+
+def take_worker(owner: str, clear: Callable[[], None]) -> None:
+    """To be called where a task of ``owner`` begins in a Python worker.
+
+    Workers outlive jobs; what another operator keeps in this one is dropped, and its memory
+    given back to the system, so that caches of successive stages don't add up.
+    """
+    if _worker["owner"] == owner:
+        return
+    if _worker["clear"] is not None:
+        _worker["clear"]()
+        gc.unfreeze()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library only
+        if trim is not None:
+            trim(0)
+    _worker.update(owner=owner, clear=clear)
+
+
 class BoundedCache(dict):
     """Results by key for repeated keys; emptied once it holds ``limit`` of them."""
 

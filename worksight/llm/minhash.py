@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import BoundedCache, groups, in_slices, text_or_empty
+from worksight.llm.common import BoundedCache, groups, in_slices, take_worker, text_or_empty
 from worksight.llm.components import components
 from worksight.sources.scratch import stored
 
@@ -56,6 +56,10 @@ class WordHashes(BoundedCache):
 _words = WordHashes(CACHED_WORDS)
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of ``width`` words, A-Z lower-cased.
 
@@ -97,6 +101,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """id, n_shingles, set_key (128 bits that tell equal sets), signature, sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("minhash", _forget)
         for batch in in_slices(batches):
             sizes, keys, signs, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -183,6 +188,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, shingles: the full sets of the wanted ids, stored."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("minhash", _forget)
         for batch in in_slices(batches):
             sets = [shingle_set(text, width).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

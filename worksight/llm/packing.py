@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from worksight.llm.common import BoundedCache, Numbering, in_slices, text_or_empty
+from worksight.llm.common import BoundedCache, Numbering, in_slices, take_worker, text_or_empty
 from worksight.sources.scratch import stored
 
 MAX_TOKENS = 4096
@@ -163,6 +163,7 @@ def cut_documents(
         raise ValueError("max_tokens must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("packing", load_words.cache_clear)
         words = load_words(path)
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}

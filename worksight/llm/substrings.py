@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import in_slices, text_or_empty
+from worksight.llm.common import in_slices, take_worker, text_or_empty
 from worksight.sources.scratch import keep_path, new_table_path, stored
 
 BLOCK_BYTES = 4 << 20  # of text in a block; a longer text is a block of its own
@@ -336,6 +336,7 @@ def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataF
     """Blocks of texts in id order as a table bucketed by ``block``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("substrings", lambda: None)
         task = TaskContext.get().partitionId()
         number, ids, texts, size = 0, [], [], 0
 
@@ -418,6 +419,7 @@ def _exchange(blocks: DataFrame, answers: list[DataFrame], threshold: int, bucke
     bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("substrings", lambda: None)
         for batch in in_slices(batches, rows=1):
             (row,) = batch.to_pylist()
             block = Block(row["ids"], row["lengths"], row["data"], threshold)

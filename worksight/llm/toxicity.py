@@ -23,7 +23,7 @@ from xxhash import xxh3_64_intdigest as _hash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import BoundedCache, crc_fold, in_slices, text_or_empty
+from worksight.llm.common import BoundedCache, crc_fold, in_slices, take_worker, text_or_empty
 
 BITS = 20  # 2**20 hashed terms
 _MASK = (1 << BITS) - 1
@@ -214,8 +214,9 @@ def train(
     sample = rows.join(F.broadcast(known), "id").select("id", "label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity", _load.cache_clear)
         known = Terms()
-        for batch in in_slices(batches, rows=1_000):
+        for batch in in_slices(batches, rows=1_000, size=2 << 20):
             terms, counts = terms_of(batch.column(2).to_pylist(), known)
             bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(terms, pa.int32()))
@@ -253,6 +254,7 @@ def score(
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_worker("toxicity", _load.cache_clear)
         machine, known = _load(model.value)
         for texts in batches:
             scores = []

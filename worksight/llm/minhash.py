@@ -36,7 +36,7 @@ COORDINATES = 40
 MARGIN = 4.6
 # Coordinates of the longer sketches, of 16 bits each, on which candidates are counted.
 SKETCHED = 192
-SKETCH_MARGIN = 4.0
+SKETCH_MARGIN = 4.6
 BLOCK = 4_096  # documents of one list that are compared with one another in one go
 FAMILY_BLOCK = 512  # ... and of one family, on their full sets
 COLUMNS = 4_096  # shingles that a comparison of full sets lays out at once

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -378,6 +379,19 @@ def risk_from_stored_signals(spark, sf_dir):
     return _rounded_stats(merged)
 
 
+def observed_merge(spark, sf_dir):
+    """What the pass that wrote merged signals counted, its keys found unique."""
+    merged = risk.checked_merge(
+        _projects(spark, sf_dir),
+        similarity.project_signals(_similar_parts(spark, sf_dir)),
+        signals.with_spending_signal(_projects(spark, sf_dir)),
+    )
+    tables.write_risk_table(merged.table, scratch.output_path(spark, "merged-risk"))
+    row = spark.range(1)
+    counts = {name: F.lit(n).cast("long") for name, n in merged.verify().items()}
+    return row.select(*(value.alias(name) for name, value in counts.items()))
+
+
 def risk_summary(spark, sf_dir):
     return reads.summary(_risk(spark, sf_dir))
 
@@ -474,6 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         document_duplicate_signals,
         risk_scores,
         risk_from_stored_signals,
+        observed_merge,
         risk_summary,
         risk_distribution,
         category_counts,
@@ -497,20 +512,25 @@ def oracle_sql() -> dict[str, str]:
 # --- training-data operators, present only with their subpackage --------------------
 
 
+def _llm_here() -> bool:
+    """Whether both the subpackage and the pipeline are there; their own errors show."""
+    return all(find_spec(name) is not None for name in ("corpus_pipeline", "worksight.llm"))
+
+
 def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    try:
-        import corpus_pipeline
-        from worksight.llm import queries as llm_queries
-    except ImportError:
+    if not _llm_here():
         return {}
+    import corpus_pipeline
+    from worksight.llm import queries as llm_queries
+
     return llm_queries.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def _llm_sql() -> dict[str, str]:
-    try:
-        import corpus_pipeline
-        from worksight.llm import queries as llm_queries
-    except ImportError:
+    if not _llm_here():
         return {}
+    import corpus_pipeline
+    from worksight.llm import queries as llm_queries
+
     sql = corpus_pipeline.ORACLE_SQL
     return llm_queries.oracle_sql() | ({"pipeline": sql} if sql else {})

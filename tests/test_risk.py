@@ -6,6 +6,7 @@ from worksight.operators.scoring import with_scores
 from worksight.operators.signals import with_spending_signal
 from worksight.operators.similarity import find_similar_works, project_signals
 from worksight.plans import investigation, reads, risk
+from worksight.sources import schema
 from worksight.sources.schema import PROJECT_SCHEMA, RISK_COLUMNS
 from worksight.sources.tables import load_risk_table, write_risk_table
 
@@ -171,3 +172,27 @@ def test_queue_numbers_beyond_99(spark, sample_risk):
     many = many.withColumn("project_id", F.format_string("Q%03d", "n")).drop("n")
     places = [r.place for r in investigation.review_queue(many, 500).collect()]
     assert places[:2] == ["01", "02"] and places[99] == "100" and len(places) == 120
+
+
+def test_merge_refuses_repeated_keys(spark):
+    """Counts of the pass itself tell; the exact check only names the keys."""
+    projects_ = sample_projects(spark)
+    spending = with_spending_signal(projects_)
+    ids = [r.project_id for r in projects_.orderBy("project_id").limit(2).collect()]
+    once = [(ids[0], 90.0, 1, True), ("other", 80.0, 1, True), ("other", 80.0, 1, True)]
+    sound = risk.checked_merge(projects_, spark.createDataFrame(once, schema.SIGNAL_SCHEMA), spending)
+    sound.table.collect()
+    n = projects_.count()
+    figures = sound.verify()
+    assert figures == {
+        "n_projects": n, "n_with_signals": n, "n_with_spending": n, "null_keys": 0, "nan_cells": 0
+    }
+    twice = spark.createDataFrame([*once, once[0]], schema.SIGNAL_SCHEMA)
+    faulty = risk.checked_merge(projects_, twice, spending)
+    faulty.table.collect()
+    with pytest.raises(ValueError, match=f"signal table repeats project_id, such as .*{ids[0]}"):
+        faulty.verify()
+    faulty = risk.checked_merge(projects_, twice.limit(0), spending.unionByName(spending.limit(1)))
+    faulty.table.collect()
+    with pytest.raises(ValueError, match="spending table repeats"):
+        faulty.verify()

@@ -387,6 +387,10 @@ def statements() -> dict[str, str]:
             FROM proj WHERE planned_duration_days < 200
             UNION ALL SELECT 2, count(*), sum(elapsed_days)::BIGINT FROM proj""",
         "described_part_pairs": parts + DESCRIBED_PAIRS,
+        "observed_merge": f"""WITH {PROJ} SELECT count(*) AS n_projects,
+                count(*) AS n_with_signals, count(*) AS n_with_spending,
+                count(*) FILTER (project_id IS NULL) AS null_keys, 0::BIGINT AS nan_cells
+            FROM proj""",
         "overlay_update": f"""WITH {PROJ}, specs AS (
             SELECT unnest([n_nationkey * 30 + 1, n_nationkey * 30 + 2])::VARCHAR AS id,
                 unnest([' at ', ' in ']) AS link, r_name, n_name

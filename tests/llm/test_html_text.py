@@ -52,6 +52,36 @@ def test_pages_without_semantic_elements():
     assert ht.main_text(page).split("\n\n") == ["Title of the text", long, "Short one.", long]
 
 
+LONG = "This paragraph has a good number of words, it says something, and it ends like a sentence does."
+
+
+def test_links_around_blocks():
+    """A teaser is linked whether its link stands inside the block or around it."""
+    cards = [f"Another story number {i} with a title that is long enough" for i in range(4)]
+    for card in ("<div><a href=x>{}</a></div>", "<a href=x><div>{}</div></a>", "<a href=x><div><p>{}</p></div></a>"):
+        teasers = "".join(card.format(text) for text in cards)
+        page = f"<body><div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div><div>{teasers}</div></body>"
+        assert ht.main_text(page).split("\n\n") == ["A title", LONG, LONG]
+    # a link that is never closed ends with the block around it
+    page = f"<article><p><a href=x>Go</p><p>{LONG}</p></article>"
+    assert LONG in ht.main_text(page)
+
+
+def test_names_that_may_mean_either():
+    page = f"""<article><h1>A title</h1><p>{LONG}</p><div class="related-work"><p>{LONG}</p></div>
+    <div class="share-price-widget"><p>{LONG}</p></div><p>{LONG}</p>
+    <div class="share"><a href=x>Send</a> <a href=y>Post</a></div>
+    <div class="related"><a href=x>More on this</a></div></article>
+    <div class="related"><p>{LONG}</p></div>"""
+    assert ht.main_text(page).split("\n\n") == ["A title", LONG, LONG, LONG, LONG]
+
+
+def test_references_end_at_tags():
+    assert ht.main_text("<article><p>Fish &am<b>p;</b> chips &amp; more.</p></article>") == (
+        "Fish &amp; chips & more."
+    )
+
+
 def test_odd_pages():
     for page in ("", "   ", "<", "<p", "<!-- open", "<script>x", "<p a='x>b", "</p></div>", "<a><b><i>", "&am", "<>"):
         assert isinstance(ht.main_text(page), str)

@@ -70,6 +70,12 @@ BOILERPLATE_NAMES = frozenset(
     subscription taboola tags teaser teasers toolbar topbar tracking trending widget
     widgets""".split()
 )
+# ... of these, words that a part of an article may be named for as well: they count against
+# it, but a block of its own weight outweighs them.
+WEAK_NAMES = frozenset(
+    """follow header login notice notices promotion rail register related search share shares
+    side skip social subscription tags tracking widget widgets""".split()
+)
 COMMENT_NAMES = frozenset(
     """comment comments commentlist commentary commenter disqus discussion feedback replies
     reply respond responses reviews ugc""".split()
@@ -81,6 +87,7 @@ _END = re.compile(r"[.!?…。！？:;][\"'”’»)]*$")
 _LEGAL = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|cookies?\b.*\b(?:use|accept|consent)", re.I)
 
 CERTAIN = 40.0  # cost that no smoothness outweighs
+DOUBTFUL = 4.0  # cost of a name that may mean either
 ADJACENT = 0.5  # smoothness of blocks that follow one another, anywhere in the tree
 SIBLING = 1.2  # ... of blocks under one parent
 NEAR = 0.8  # ... of blocks one step apart, less for each further step
@@ -89,12 +96,14 @@ NEAR = 0.8  # ... of blocks one step apart, less for each further step
 class Element:
     """An open or closed block element and what its names say."""
 
-    __slots__ = ("comment", "content", "depth", "holds_content", "hidden", "marked", "parent", "tag")
+    __slots__ = (
+        "comment", "content", "depth", "doubtful", "hidden", "holds_content", "marked", "parent", "tag"
+    )
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.marked = self.comment = self.hidden = False
+        self.marked = self.doubtful = self.comment = self.hidden = False
         self.content = tag in CONTENT
         self.holds_content = False
         if tag in ("html", "body"):
@@ -107,10 +116,11 @@ class Element:
                 self.hidden |= "display:none" in value.lower().replace(" ", "")
             else:
                 parts = {part.lower() for part in _NAME_PART.findall(value)}
-                self.marked |= not parts.isdisjoint(BOILERPLATE_NAMES)
+                self.marked |= not parts.isdisjoint(BOILERPLATE_NAMES - WEAK_NAMES)
+                self.doubtful |= not parts.isdisjoint(WEAK_NAMES)
                 self.comment |= not parts.isdisjoint(COMMENT_NAMES)
                 self.content |= not parts.isdisjoint(CONTENT_NAMES)
-        if self.content and (self.marked or self.comment):
+        if self.content and (self.marked or self.doubtful or self.comment):
             self.content = tag in CONTENT  # "comment-text" is no content
 
 
@@ -128,13 +138,13 @@ def blocks_of(page: str) -> list[Block]:
     root = current = Element("html", "", None)
     pieces: list[str] = []
     linked = 0
-    links = skipped = 0
+    link: Element | None = None  # the element that the open link began in
     heading = False
 
     def finish() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 share = min(1.0, linked / len(text))
                 found.append(Block(text, text.count(" ") + 1, share, current, heading))
@@ -144,6 +154,13 @@ def blocks_of(page: str) -> list[Block]:
     def close(element: Element) -> Element:
         return element.parent or root
 
+    def still_open(link: Element | None) -> Element | None:
+        """A link goes on through the blocks inside it, and ends with the block around it."""
+        element = current if link is not None else None
+        while element is not None and element is not link:
+            element = element.parent
+        return element
+
     at, n = 0, len(page)
     skipping: list[str] = []
     while at < n:
@@ -151,9 +168,9 @@ def blocks_of(page: str) -> list[Block]:
         if start < 0:
             start = n
         if start > at and not skipping:
-            text = page[at:start]
+            text = html.unescape(page[at:start])  # a reference doesn't go on behind a tag
             pieces.append(text)
-            if links:
+            if link is not None:
                 linked += len(text.strip())
         if start == n:
             break
@@ -178,7 +195,7 @@ def blocks_of(page: str) -> list[Block]:
                         pieces.append(" ")
                 continue
             if tag == "a":
-                links = max(0, links - 1)
+                link = None
             if tag in BLOCKS or tag in BOILERPLATE:
                 finish()
                 element = current
@@ -186,6 +203,7 @@ def blocks_of(page: str) -> list[Block]:
                     element = close(element)
                 if element is not root:
                     current = close(element)
+                    link = still_open(link)
                 heading = False
             continue
         if tag in RAW:
@@ -217,11 +235,10 @@ def blocks_of(page: str) -> list[Block]:
                     pieces.append(" ")
             continue
         if tag == "a":
-            links = 1  # links don't nest
+            link = current  # links don't nest
             continue
         if tag in BLOCKS or tag in BOILERPLATE:
             finish()
-            links = 0
             closing = CLOSES_ITSELF.get(tag)
             if closing:
                 element = current
@@ -231,6 +248,7 @@ def blocks_of(page: str) -> list[Block]:
                     current = close(element)
             elif current.tag == "p" and tag in BLOCKS:
                 current = close(current)
+            link = still_open(link)
             if tag in ("html", "body"):
                 continue
             current = Element(tag, attributes, current)
@@ -246,7 +264,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def evidence(block: Block) -> float:
     """Log odds of the classifier that a block is content."""
-    inside = named = False
+    inside = named = doubtful = False
     element: Element | None = block.element
     while element is not None:
         if element.hidden or element.comment and not _has_main(element):
@@ -258,12 +276,14 @@ def evidence(block: Block) -> float:
             return -CERTAIN
         if element.marked and not in_article and not _has_main(element):
             return -CERTAIN
+        doubtful |= element.doubtful and not in_article and not _has_main(element)
         inside |= in_article
         named |= element.content
         element = element.parent
     score = -1.5 + min(3.0, block.words / 10) - 4.0 * block.linked
     score += 0.8 * bool(_END.search(block.text))
     score += 1.5 * block.heading
+    score -= DOUBTFUL * doubtful
     score += 3.0 * inside + 1.5 * (named and not inside)
     score -= 3.0 * (not inside and bool(_LEGAL.search(block.text)))
     return score

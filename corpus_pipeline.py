@@ -22,8 +22,12 @@ from worksight.sources import scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not take for toxic."""
     labels = table(spark, sf_dir, "labels")
-    scored = toxicity.score(docs, toxicity.train(docs, labels, folds=5))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    machine = toxicity.train(docs, labels, folds=5)
+    # columns of the table that are named like the machine's keep their values
+    aside = {c: f"{c} of the table" for c in ("score", "predicted") if c in docs.columns}
+    scored = toxicity.score(docs.withColumnsRenamed(aside), machine)
+    kept = scored.where(F.col("predicted") == 0).drop("score", "predicted")
+    return kept.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

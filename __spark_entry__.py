@@ -352,6 +352,25 @@ def document_duplicate_signals(spark, sf_dir):
     return similarity.project_signals(_similar_documents(spark, sf_dir))
 
 
+def pairs_of_no_category(spark, sf_dir):
+    """Projects without a category take no part: a typed result without rows."""
+    none = _ordered_projects(spark, sf_dir).where(F.col("category").isNull())
+    return _work_pairs(similarity.find_similar_works(none, order_col="row_seq"))
+
+
+def blanked_document_signals(spark, sf_dir):
+    """Signals where the texts of one language are empty and those of another missing."""
+    lang = F.col("lang")
+    text = F.when(lang == "de", "").when(lang == "fr", None).otherwise(F.col("text"))
+    similar = similarity.find_similar_works(
+        _documents(spark, sf_dir).withColumn("text", text),
+        id_col="doc_id",
+        group_col="source",
+        text_col="text",
+    )
+    return similarity.project_signals(similar)
+
+
 def signals_of_pairs(spark, sf_dir):
     """Signals from a whole pair table, here the pairs of different works of documents."""
     pairs = _similar_documents(spark, sf_dir).pairs
@@ -434,6 +453,25 @@ def investigation_view(spark, sf_dir):
     return view.withColumn("reasons", F.array_join("reasons", "; "))
 
 
+def aliased_investigation_view(spark, sf_dir):
+    """The case view of a table with other column names, a place instead of district and state."""
+    table = (
+        _risk(spark, sf_dir)
+        .drop("district", "state")
+        .withColumn("location", F.concat("category", F.lit(" works")))
+        .withColumnsRenamed(
+            {
+                "project_id": "id",
+                "risk_score": "score",
+                "risk_level": "risk",
+                "work_description": "work_name",
+            }
+        )
+    )
+    view = investigation.investigation_view(table)
+    return view.withColumn("reasons", F.array_join("reasons", "; "))
+
+
 def flag_reason_texts(spark, sf_dir):
     flagged = signals.with_delay_signal(
         signals.with_cost_signal(signals.with_spending_signal(_projects(spark, sf_dir)))
@@ -479,6 +517,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top_similar_parts,
         described_part_pairs,
         part_duplicate_signals,
+        pairs_of_no_category,
+        blanked_document_signals,
         signals_of_pairs,
         similar_document_works,
         similar_document_classes,
@@ -499,6 +539,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         project_lookup,
         review_queue,
         investigation_view,
+        aliased_investigation_view,
         flag_reason_texts,
     ]
     return {query.__name__: query for query in registered} | _llm_queries()

@@ -193,6 +193,9 @@ def _similarity(source: str) -> str:
 PART_DOCS = "SELECT project_id AS id, row_seq AS seq, category AS cat, work_description AS txt FROM proj"
 TEXT_DOCS = "SELECT doc_id AS id, doc_id AS seq, source AS cat, text AS txt FROM documents"
 
+BLANKED_DOCS = """SELECT doc_id AS id, doc_id AS seq, source AS cat,
+    CASE lang WHEN 'de' THEN '' WHEN 'fr' THEN NULL ELSE text END AS txt FROM documents"""
+
 WORK_PAIRS = """SELECT id_1 AS project_1, id_2 AS project_2, sim.cat AS category,
         similarity_pct, a.n_projects AS projects_1, b.n_projects AS projects_2,
         a.n_projects * b.n_projects AS n_pairs
@@ -447,6 +450,8 @@ def statements() -> dict[str, str]:
         "signals_of_pairs": texts + PAIR_SIGNALS,
         "similar_document_works": texts + WORK_PAIRS,
         "document_copy_groups": texts + COPY_GROUPS,
+        "pairs_of_no_category": parts + WORK_PAIRS + " WHERE sim.cat IS NULL",
+        "blanked_document_signals": f"WITH {_similarity(BLANKED_DOCS)} " + SIGNALS,
         "document_pair_count": texts + PAIR_COUNT,
         "similar_document_classes": texts + CLASSES,
         "top_similar_documents": texts + TOP_20,
@@ -485,6 +490,9 @@ def statements() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER ({TOP_ORDER}) AS place FROM risk
                 WHERE risk_level = 'High') WHERE place <= 50""",
         "investigation_view": risk + f"SELECT {HEADING}, {_case_columns()} FROM risk",
+        "aliased_investigation_view": risk
+        + f"""SELECT {HEADING.replace(LOCATION, "category || ' works'")}, {_case_columns()}
+            FROM risk""",
         "flag_reason_texts": detectors
         + """SELECT project_id, coalesce(nullif(concat_ws('; ',
             CASE WHEN cost_anomaly THEN 'Potential cost anomaly' END,

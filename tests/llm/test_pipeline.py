@@ -74,6 +74,16 @@ def test_stages(spark, tmp_path):
     assert again.agg(F.sum(key), F.count("*")).first() == frames[4].agg(F.sum(key), F.count("*")).first()
 
 
+def test_columns_named_like_the_machines(spark, tmp_path):
+    rows = [(k, "plain words of a clean text", f"mine {k}", k) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    labels = spark.createDataFrame([(k, 0) for k in range(8)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == rows
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -92,6 +92,14 @@ def test_text_ids_and_empty_table(spark):
 def test_cut_characters_are_dropped(spark):
     kept = spark.createDataFrame([("é".encode()[:1] + b"ok" + "é".encode(),)], "kept binary")
     assert kept.select(substrings.whole_characters("kept")).first()[0] == "oké"
+    # a repeated string that begins within a character takes the rest of it along
+    passage = "é" + "".join(chr(0x100 + k) for k in range(40))
+    rows = [(1, passage), (2, "è" + passage[1:] + "!"), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    as_bytes = {r.doc_id: bytes(r.kept) for r in substrings.remove_repeats(docs).collect()}
+    as_text = {r.doc_id: r.kept for r in substrings.remove_repeats(docs, as_text=True).collect()}
+    assert as_text == {k: data.decode("utf-8", "ignore") for k, data in as_bytes.items()}
+    assert as_text[2] == "è!" and as_text[None] == passage
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 22, 100])

@@ -58,6 +58,13 @@ def in_slices(
 _worker: dict[str, object] = {"owner": None, "clear": None}
 
 
+def give_back() -> None:
+    """Give freed memory of this process back to the system, where its C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def take_worker(owner: str, clear: Callable[[], None]) -> None:
     """To be called where a task of ``owner`` begins in a Python worker.
 
@@ -70,9 +77,7 @@ def take_worker(owner: str, clear: Callable[[], None]) -> None:
         _worker["clear"]()
         gc.unfreeze()
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library only
-        if trim is not None:
-            trim(0)
+        give_back()
     _worker.update(owner=owner, clear=clear)
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import in_slices, take_worker, text_or_empty
+from worksight.llm.common import give_back, in_slices, take_worker, text_or_empty
 from worksight.sources.scratch import keep_path, new_table_path, stored
 
 BLOCK_BYTES = 4 << 20  # of text in a block; a longer text is a block of its own
@@ -434,6 +434,7 @@ def _exchange(blocks: DataFrame, answers: list[DataFrame], threshold: int, bucke
                 ],
                 names=["bucket", "block", "ranks"],
             )
+            give_back()
 
     def answer(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("block")
@@ -480,12 +481,14 @@ def remove_repeats(
     threshold: int = 50,
     carry: Sequence[str] = (),
     block_bytes: int = BLOCK_BYTES,
+    as_text: bool = False,
 ) -> DataFrame:
     """Every text without the bytes that an earlier document has in a string of ``threshold``.
 
     Columns: the id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept
-    (the remaining bytes) and extra, a struct of the columns to ``carry`` along. A byte goes when a string of ``threshold`` bytes that covers
-    it also starts in a document with a smaller id; strings are judged on the input. A null
+    (the remaining bytes; ``as_text``, the text they are without what is left of characters
+    that were cut through) and extra, a struct of the columns to ``carry`` along. A byte goes
+    when a string of ``threshold`` bytes that covers it also starts in a document with a smaller id; strings are judged on the input. A null
     text counts as empty. Rows that repeat an id are one document and don't remove from one
     another; rows without an id are kept whole and remove nothing. ``threshold`` is at least
     2 * 16 + 1.
@@ -521,7 +524,7 @@ def remove_repeats(
                 removed.append(int(part.sum()))
                 spans.append(int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             long = pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -530,16 +533,18 @@ def remove_repeats(
                     pa.array(removed, long),
                     pa.array(spans, long),
                     pa.array(digests, pa.string()),
-                    pa.array(kept, pa.binary()),
+                    pa.array(kept, pa.string() if as_text else pa.binary()),
                     batch.column("extras")[0].values,
                 ],
                 names=names,
             )
+            give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
+    kept_type = "string" if as_text else "binary"
     schema = (
         f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        f"kept binary, extra {rows.schema['extra'].dataType.simpleString()}"
+        f"kept {kept_type}, extra {rows.schema['extra'].dataType.simpleString()}"
     )
     done = _with_answers(blocks, answers).mapInArrow(finish, schema)
     data = F.col("text").cast("binary")
@@ -549,7 +554,7 @@ def remove_repeats(
         F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"),
         F.sha2(data, 256).alias("kept_sha256"),
-        data.alias("kept"),
+        data.cast(kept_type).alias("kept"),
         "extra",
     )
     return done.unionByName(unnamed).withColumnRenamed("id", id_col)

@@ -46,9 +46,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     ship_code(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = substrings.remove_repeats(docs, threshold=50, carry=others)
-    text = substrings.whole_characters("kept")
-    cut = cut.select("doc_id", text.alias("text"), "extra.*")
+    cut = substrings.remove_repeats(docs, threshold=50, carry=others, as_text=True)
+    cut = cut.select("doc_id", F.col("kept").alias("text"), "extra.*")
     if "n_chars" in others:
         counted = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", counted)

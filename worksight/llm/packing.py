@@ -17,6 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -89,22 +90,24 @@ class WordIds:
                 at = end
 
     def _learn(self, words: list[bytes]) -> None:
-        runs, others, made_of = Numbering(), Numbering(), []
-        for word in words:
-            text = word.decode()
+        runs, others = Numbering(), Numbering()
+        run_of, other_of = [], []
+        texts = b"\n".join(words).decode().split("\n") if words else []
+        for text in texts:
             letters = text.rstrip(PUNCTUATION)
             # some capitals become a letter and a mark, which joins what follows
             if letters.isalpha() and (letters.isascii() or letters.lower().isalpha()):
-                rest = text[len(letters) :]
-                made_of.append((runs[letters], others[rest] if rest else -1))
+                run_of.append(runs[letters])
+                other_of.append(-1 if letters is text else others[text[len(letters) :]])
             else:
-                made_of.append((-1, others[text]))
+                run_of.append(-1)
+                other_of.append(others[text])
         run_ids = list(self._runs_of_letters(list(runs)))
         other_ids = list(self._one_by_one(list(others)))
         run_ids.append(b"")  # at -1
         other_ids.append(b"")
-        for word, (run, other) in zip(words, made_of, strict=True):
-            self.known[word] = run_ids[run] + other_ids[other]
+        ids = map(add, map(run_ids.__getitem__, run_of), map(other_ids.__getitem__, other_of))
+        self.known.update(zip(words, ids, strict=True))
 
     def _split(self, text: str) -> list[bytes]:
         """Words at ASCII white space, those that are ASCII alone in lower case."""
@@ -124,9 +127,11 @@ class WordIds:
             self.known.clear()
             new = set().union(*words)
         self._learn(list(new))
+        self.known[b""] = end  # no word is empty
         get = self.known.__getitem__
         for of_text in words:
-            yield b"".join(map(get, of_text)) + end
+            of_text.append(b"")
+            yield b"".join(map(get, of_text))
 
 
 @functools.lru_cache(maxsize=2)

@@ -43,7 +43,7 @@ def test_sql_needs_no_spark_installation(tmp_path):
     done = subprocess.run(
         [sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120
     )
-    assert done.stdout.split()[-1] == "40", done.stderr
+    assert done.stdout.split()[-1] == "53", done.stderr
 
 
 @pytest.mark.parametrize("name", OWN)

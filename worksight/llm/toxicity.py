@@ -3,7 +3,8 @@
 A text is the set of its hashed terms: lower-cased words without outer punctuation, and
 the first letters of longer words, which catch inflected forms. The machine scores
 b + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, so a pair such as an insult and
-a mention of a group has a weight of its own that additive weights lack.
+a mention of a group has a weight of its own that additive weights lack, also where each
+of the two words tells nothing alone.
 
 It is fitted on a bounded sample of labelled rows, in one task; every text is then scored
 whole, without a shuffle of texts.
@@ -37,6 +38,12 @@ RATE = 0.2
 FACTOR_RATE = 0.02
 L1 = 2.0
 L2 = 0.1
+PAIR_ROWS = 12  # training rows from which a term has factors, whatever its weight
+PAIR_EPOCHS = 4
+PAIR_RATE = 0.1
+PAIR_DECAY = 0.05
+PAIR_FLOOR = 0.25  # length of a term's factors below which they are dropped
+CHECKED = 10  # every tenth training row only decides whether such factors stay
 CACHED_WORDS = 200_000
 _OUTER = b"\"'!?.,;:()[]{}<>*_-%&$#|~"
 
@@ -92,6 +99,17 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batches(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, random):
+    """Terms, their text's number in the batch and labels, BATCH rows at a time, shuffled."""
+    starts = np.cumsum(counts) - counts
+    batches = max(1, len(labels) // BATCH)
+    for rows in np.array_split(random.permutation(len(labels)), batches):
+        n = counts[rows]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[rows] - ends + n, n) + np.arange(ends[-1])
+        yield terms[at], np.repeat(np.arange(len(rows)), n), labels[rows]
+
+
 class Machine:
     """Bias, one weight and FACTORS factors for each hashed term; most are zero."""
 
@@ -104,41 +122,44 @@ class Machine:
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (4.0 if share else -4.0)
         return cls(bias, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
 
+    def active(self) -> np.ndarray:
+        """Which terms have a weight or factors."""
+        return (self.weights != 0) | self.factors.any(axis=1)
+
     def score(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log odds of the label for texts given by ``terms_of``."""
         text = np.repeat(np.arange(len(counts)), counts)
-        active = self.weights[terms] != 0  # a term without a weight has no factors either
-        terms, text = terms[active], text[active]
-        n = np.bincount(text, minlength=len(counts))
+        linear = _sums(self.weights[terms].astype(np.float64), counts)
         chosen = self.factors[terms].astype(np.float64)
+        paired = chosen.any(axis=1)
+        chosen, text = chosen[paired], text[paired]
+        n = np.bincount(text, minlength=len(counts))
         total, squares = _sums(chosen, n), _sums((chosen * chosen).sum(1), n)
-        linear = _sums(self.weights[terms].astype(np.float64), n)
         return self.bias + linear + 0.5 * ((total * total).sum(1) - squares)
 
     def fit(self, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> None:
         """Log loss in small batches, rows in a fixed shuffled order.
 
-        Weights follow the regularized leader with an L1 term, so that the many terms
+        First weights, and factors of the terms that have a weight; then factors of all
+        other terms of PAIR_ROWS rows or more, for pairs of words that are neutral alone.
+        """
+        random = np.random.default_rng(11)
+        first = random.normal(0, 0.05, self.factors.shape).astype(np.float32)
+        self._fit_weighted(terms, counts, labels, first, random)
+        self._fit_neutral(terms, counts, labels, first, random)
+
+    def _fit_weighted(self, terms, counts, labels, first, random) -> None:
+        """Weights follow the regularized leader with an L1 term, so that the many terms
         which tell nothing stay exactly zero and long texts gather no noise from them.
         Factors are learned by AdaGrad for the terms that have a weight.
         """
-        random = np.random.default_rng(11)
-        starts = np.cumsum(counts) - counts
         leader = np.zeros(len(self.weights))
         power = np.zeros(len(self.weights))
-        first = random.normal(0, 0.05, self.factors.shape).astype(np.float32)
         power_v = np.full(self.factors.shape, 1.0, np.float32)
         power_b = 1.0
         for _ in range(EPOCHS):
-            batches = max(1, len(labels) // BATCH)
-            for rows in np.array_split(random.permutation(len(labels)), batches):
-                n = counts[rows]
-                ends = np.cumsum(n)
-                at = np.repeat(starts[rows] - ends + n, n) + np.arange(ends[-1])
-                x = terms[at]
-                text = np.repeat(np.arange(len(rows)), n)
-                z = np.clip(self.score(x, n), -30, 30)
-                slope = 1 / (1 + np.exp(-z)) - labels[rows]
+            for x, text, truth in _batches(terms, counts, labels, random):
+                slope = self._slope(x, text, truth)
                 used, where = np.unique(x, return_inverse=True)
                 grad = np.bincount(where, slope[text], len(used))
                 step = np.sqrt(power[used] + grad * grad)
@@ -151,27 +172,70 @@ class Machine:
                 self.weights[used] = np.where(now, moved / ((1 + step) / RATE + L2), 0)
                 self.factors[used[now & ~before]] = first[used[now & ~before]]
                 self.factors[used[~now]] = 0
-
-                both = (before & now)[where]
-                x, text = x[both], text[both]
-                if len(x):
-                    n = np.bincount(text, minlength=len(rows))
-                    chosen = self.factors[x].astype(np.float64)
-                    rest = (_sums(chosen, n)[text] - chosen) * slope[text][:, None]
-                    used, where = np.unique(x, return_inverse=True)
-                    grad_v = np.stack(
-                        [np.bincount(where, rest[:, f], len(used)) for f in range(FACTORS)], 1
-                    )
-                    grad_v += L2 * self.factors[used]
-                    power_v[used] += grad_v * grad_v
-                    self.factors[used] -= FACTOR_RATE * grad_v / np.sqrt(power_v[used])
+                learned = (before & now)[where]
+                self._move_factors(x, text, slope, learned, power_v, FACTOR_RATE, L2)
                 grad_b = float(slope.sum())
                 power_b += grad_b * grad_b
                 self.bias -= RATE * grad_b / power_b**0.5
 
+    def _fit_neutral(self, terms, counts, labels, first, random) -> None:
+        """Factors of frequent terms, whatever their weight, for what is left unexplained.
+
+        They start small; those that stay short are dropped for the check after each epoch.
+        The factors of the epoch with the least log loss on the checked rows stay, which
+        may be those from before. The checked rows took part in the first fit, which
+        makes this choice a cautious one.
+        """
+        rows = np.arange(len(labels)) % CHECKED == 0
+        if rows.all() or not rows.any():
+            return
+        at = np.repeat(rows, counts)
+        checked = terms[at], counts[rows], labels[rows]
+        terms, counts, labels = terms[~at], counts[~rows], labels[~rows]
+        old = self.factors.any(axis=1)
+        new = (np.bincount(terms, minlength=len(old)) >= PAIR_ROWS) & ~old
+        best, least = self.factors.copy(), self._loss(*checked)
+        trained = best.copy()
+        trained[new] = first[new] * np.float32(0.4)
+        power_v = np.full(self.factors.shape, 1.0, np.float32)
+        learned = new | old
+        for _ in range(PAIR_EPOCHS):
+            self.factors = trained
+            for x, text, truth in _batches(terms, counts, labels, random):
+                slope = self._slope(x, text, truth)
+                self._move_factors(x, text, slope, learned[x], power_v, PAIR_RATE, PAIR_DECAY)
+            self.factors = trained.copy()
+            self.factors[new & ((trained * trained).sum(1) < PAIR_FLOOR**2)] = 0
+            loss = self._loss(*checked)
+            if loss < least:
+                best, least = self.factors, loss
+        self.factors = best
+
+    def _slope(self, x: np.ndarray, text: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        z = np.clip(self.score(x, np.bincount(text, minlength=len(truth))), -30, 30)
+        return 1 / (1 + np.exp(-z)) - truth
+
+    def _loss(self, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> float:
+        z = np.clip(self.score(terms, counts), -30, 30)
+        return float(np.mean(np.log1p(np.exp(np.where(labels > 0.5, -z, z)))))
+
+    def _move_factors(self, x, text, slope, learned, power_v, rate, decay) -> None:
+        """One AdaGrad step for the factors of the ``learned`` places of a batch."""
+        x, text = x[learned], text[learned]
+        if not len(x):
+            return
+        n = np.bincount(text, minlength=len(slope))
+        chosen = self.factors[x].astype(np.float64)
+        rest = (_sums(chosen, n)[text] - chosen) * slope[text][:, None]
+        used, where = np.unique(x, return_inverse=True)
+        grad_v = np.stack([np.bincount(where, rest[:, f], len(used)) for f in range(FACTORS)], 1)
+        grad_v += decay * self.factors[used]
+        power_v[used] += grad_v * grad_v
+        self.factors[used] -= rate * grad_v / np.sqrt(power_v[used])
+
     def to_bytes(self) -> bytes:
-        """The terms that have a weight, with their weights and factors."""
-        used = np.flatnonzero(self.weights)
+        """The active terms, with their weights and factors."""
+        used = np.flatnonzero(self.active())
         head = np.array([self.bias], "<f8").tobytes()
         body = np.column_stack((self.weights[used], self.factors[used])).astype("<f4")
         return head + np.int64(len(used)).tobytes() + used.astype("<i8").tobytes() + body.tobytes()
@@ -272,4 +336,4 @@ def score(
 def _load(data: bytes) -> tuple[Machine, Terms]:
     machine = Machine.from_bytes(data)
     gc.freeze()
-    return machine, Terms(machine.weights != 0)
+    return machine, Terms(machine.active())

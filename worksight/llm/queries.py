@@ -19,6 +19,7 @@ from worksight.llm import (
     neighbours,
     packing,
     quality,
+    statements,
     substrings,
     toxicity,
     warc,
@@ -137,5 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in registered}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = statements.oracle_sql

@@ -113,3 +113,24 @@ def test_settled_strings_answer_later_documents(spark, block_bytes):
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(substrings.remove_repeats(docs, block_bytes=block_bytes)) == brute_force(rows, 50)
+
+
+@pytest.mark.parametrize("threshold", [50, 400])
+def test_steps_take_the_anchors_that_are_stored(monkeypatch, threshold):
+    choose = random.Random(5)
+    texts = ["".join(choose.choice("ab ") for _ in range(n)).encode() for n in (0, 49, 50, 700, 3, 900, 1200)]
+    texts += [b"x" * 600, "é".encode() * 300]
+    parts = list(range(len(texts))), [len(t) for t in texts], b"".join(texts), threshold
+    monkeypatch.setattr(substrings, "CHUNK", 130)
+    first = substrings.Block(*parts)
+    stored = first.anchors()
+    right = {}
+    for at, anchors in first._anchored_strings():
+        right.update(zip(at.tolist(), anchors.tolist(), strict=True))
+    monkeypatch.setattr(substrings.Block, "_anchored_strings", None)  # no step hashes all strings anew
+    again = substrings.Block(*parts, stored)
+    found = {}
+    for at, numbers in again.strings(again.times > 0):
+        found.update(zip(at.tolist(), again.at[numbers].tolist(), strict=True))
+    assert found == right and len(right) == sum(max(0, len(t) - threshold + 1) for t in texts)
+    assert again.ranks([]).distinct.tolist() == first.ranks([]).distinct.tolist()

@@ -19,9 +19,9 @@ the same anchor at the same place. The steps are
 4. ranks of the whole threshold for the strings still open, and for those of the same anchors
    that no single span of an earlier document holds.
 
-The texts are written once, in id order, as blocks of a bucketed table. A step reads the
-blocks beside the answers of the earlier steps, without a shuffle of texts; only distinct
-ranks of a block are sent, split by value over equal buckets, and one bit for each comes
+The texts are written once, in id order, as blocks of a bucketed table, with their anchors
+(two small numbers for each). A step reads the blocks beside the answers of the earlier
+steps, without a shuffle of texts; only distinct ranks of a block are sent, split by value over equal buckets, and one bit for each comes
 back. A rank is a hash of 63 bits, so a false match among n ranks has the odds n**2 / 2**64.
 """
 
@@ -44,14 +44,12 @@ from worksight.sources.scratch import keep_path, new_table_path, stored
 
 BLOCK_BYTES = 4 << 20  # of text in a block; a longer text is a block of its own
 BUCKET_BYTES = 16 << 20  # of text for each bucket of ranks
-KEPT_BYTES = 16 << 20  # text of a block up to which its strings' anchors are kept, 8 bytes each
 CHUNK = 1 << 18  # positions that are hashed in one go
 GRAM = 16
 STEPS = 4
 _POSITION_BITS = 28
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [_U(pow(_BASE, n, 1 << 64)) for n in range(9)]
+_BASE = _U(0x9E3779B97F4A7C15)
 _MIX = _U(0xD6E8FEB86659FD93)
 # the kinds of ranks, in the order of the steps
 ANCHOR, RIGHT, LEFT, SPAN, WANTED, WHOLE = (_U(k) for k in range(1, 7))
@@ -62,21 +60,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(29)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at every position, by doubling from one byte."""
-    h, length = data.astype(_U) + _U(1), 1
-    while length < GRAM:
-        h = h[:-length] * _POWERS[length] + h[length:]
-        length *= 2
-    return _mixed(h)
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as a number; a view."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
 
 
-def _hashes_at(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """The same hashes at some positions only."""
-    h = np.zeros(len(positions), _U)
-    for k in range(GRAM):
-        h = h * _POWERS[1] + (data[positions + k].astype(_U) + _U(1))
-    return _mixed(h)
+def _gram_keys(data: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes at every position."""
+    words = _words(data).astype(_U)
+    return _mixed(words[:-8] * _BASE + words[8:])
+
+
+def _hashes_at(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes at some positions of the bytes that ``words`` views."""
+    return _mixed((_mixed(words[positions] + _BASE) * _BASE) ^ words[positions + 8])
 
 
 def _chained(kind: np.uint64, parts: list[np.ndarray]) -> np.ndarray:
@@ -139,9 +136,12 @@ class Answer:
 class Block:
     """Texts in id order, and what the steps so far tell about them."""
 
-    def __init__(self, ids: list, lengths: list[int], data: bytes, threshold: int):
+    def __init__(
+        self, ids: list, lengths: list[int], data: bytes, threshold: int, anchors: bytes | None = None
+    ):
         self.ids, self.threshold = ids, threshold
         self.data = np.frombuffer(data, np.uint8)
+        self.words = _words(self.data)
         self.lengths = np.array(lengths, np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -151,7 +151,11 @@ class Block:
             number += k == 0 or doc_id != ids[k - 1]
             numbers.append(number)
         self.doc_of_row = np.array(numbers, np.int64)
-        self._anchors()
+        self._place(self.anchors() if anchors is None else anchors)
+
+    @classmethod
+    def of(cls, row: dict, threshold: int) -> Block:
+        return cls(row["ids"], row["lengths"], row["data"], threshold, row["anchors"])
 
     def _segments(self) -> Iterator[tuple[int, int]]:
         """Stretches of the texts that hold about CHUNK positions where strings start."""
@@ -178,7 +182,7 @@ class Block:
         sizes = np.array([b - a for a, b in group], np.int64)
         within = np.cumsum(sizes) - sizes  # where each segment starts in ``joined``
         shift = np.array([a for a, _ in group], np.int64) - within
-        keys = _gram_hashes(joined) >> _U(_POSITION_BITS) << _U(_POSITION_BITS)
+        keys = _gram_keys(joined) >> _U(_POSITION_BITS) << _U(_POSITION_BITS)
         keys |= np.arange(len(keys), dtype=_U)
         least = _window_least(keys, self.threshold - GRAM + 1)
         # strings that lie in one segment
@@ -188,26 +192,52 @@ class Block:
         move = np.repeat(shift, starts)
         return at + move, anchors + move
 
-    def _anchors(self) -> None:
-        found, kept = [], []
+    def anchors(self) -> bytes:
+        """For each anchor, how many strings in a row have it and its place in the first of them.
+
+        From string to string the anchor stays or moves on, so that these tell all.
+        """
+        found, firsts, n = [], [], 0
+        last = -1
         for at, anchors in self._anchored_strings():
             new = np.ones(len(anchors), bool)
             new[1:] = anchors[1:] != anchors[:-1]
-            found.append(anchors[new])
-            if len(self.data) <= KEPT_BYTES:
-                kept.append((at.astype(np.int32), anchors.astype(np.int32)))
-        self.at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        self.row = np.searchsorted(self.ends, self.at, side="right")
+            new[0] = anchors[0] != last
+            last = int(anchors[-1])
+            found.append((anchors - at)[new])
+            firsts.append(np.flatnonzero(new) + n)
+            n += len(at)
+        if not found:
+            return b""
+        times = np.diff(np.concatenate([*firsts, [n]]))
+        return np.stack((times, np.concatenate(found))).astype(self._narrow()).tobytes()
+
+    def _narrow(self) -> type:
+        """Of numbers up to the threshold."""
+        return np.uint8 if self.threshold < 1 << 8 else np.uint32
+
+    def _place(self, anchors: bytes) -> None:
+        self.times, within = np.frombuffer(anchors, self._narrow()).reshape(2, -1).astype(np.int64)
+        # strings are numbered through all texts; ``from_at`` is where those of an anchor begin
+        strings = np.maximum(self.lengths - self.threshold + 1, 0)
+        until = np.cumsum(strings)
+        first = np.cumsum(self.times) - self.times
+        self.row = np.searchsorted(until, first, side="right")
+        self.from_at = first + (self.starts - (until - strings))[self.row]
+        self.at = self.from_at + within
         self.doc = self.doc_of_row[self.row]
-        self.hash = _hashes_at(self.data, self.at)
-        self.kept = kept
-
-    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of all strings of the threshold's length, and numbers of their anchors."""
-        number = np.zeros(len(self.data), np.int32)
-        number[self.at] = np.arange(len(self.at))
-        for at, anchors in self.kept or self._anchored_strings():
-            yield at, number[anchors]
+        self.hash = _hashes_at(self.words, self.at)
+
+    def strings(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the strings that have wanted anchors, and numbers of their anchors."""
+        chosen = np.flatnonzero(wanted)
+        sizes = np.cumsum(self.times[chosen])
+        cuts = np.searchsorted(sizes, np.arange(CHUNK, int(sizes[-1]) if len(sizes) else 0, CHUNK))
+        for part in np.split(chosen, cuts):
+            times = self.times[part]
+            before = np.cumsum(times) - times
+            at = np.repeat(self.from_at[part] - before, times) + np.arange(times.sum())
+            yield at, np.repeat(part, times)
 
     # --- the steps: ranks to send, and what an answer to them means -------------------
 
@@ -285,9 +315,7 @@ class Block:
         """
         settled = np.concatenate(([0], np.cumsum(self.removed)))
         either = self.right_shared | self.left_shared
-        for at, anchor in self.strings():
-            some = np.flatnonzero(either[anchor])
-            at, anchor = at[some].astype(np.int64), anchor[some]
+        for at, anchor in self.strings(either):
             to_right = at + self.threshold - self.at[anchor] - GRAM >= self.half
             shared = np.where(to_right, self.right_shared[anchor], self.left_shared[anchor])
             earlier = np.where(to_right, self.right_earlier[anchor], self.left_earlier[anchor])
@@ -326,14 +354,16 @@ class Block:
         length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
         longest = int(length.max()) if len(at) else GRAM
         parts = [
-            _hashes_at(self.data, at + np.minimum(offset, length - GRAM))
+            _hashes_at(self.words, at + np.minimum(offset, length - GRAM))
             for offset in range(0, longest, GRAM)
         ]
         return _chained(kind, [length.astype(_U), *parts])
 
 
-def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataFrame:
-    """Blocks of texts in id order as a table bucketed by ``block``."""
+def _blocks(
+    rows: DataFrame, n_parts: int, block_bytes: int, threshold: int, name: str
+) -> DataFrame:
+    """Blocks of texts in id order, with their anchors, as a table bucketed by ``block``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("substrings", lambda: None)
@@ -341,15 +371,18 @@ def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataF
         number, ids, texts, size = 0, [], [], 0
 
         def block() -> pa.RecordBatch:
+            lengths, data = [len(t) for t in texts], b"".join(texts)
+            anchors = Block(ids, lengths, data, threshold).anchors()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([task << 32 | number], pa.int64()),
                     pa.array([ids], pa.list_(id_type)),
-                    pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                    pa.array([b"".join(texts)], pa.binary()),
+                    pa.array([lengths], pa.list_(pa.int64())),
+                    pa.array([data], pa.binary()),
+                    pa.array([anchors], pa.binary()),
                     pa.array([extras], pa.list_(extra_type)),
                 ],
-                names=["block", "ids", "lengths", "data", "extras"],
+                names=["block", "ids", "lengths", "data", "anchors", "extras"],
             )
 
         id_type = extra_type = None
@@ -374,7 +407,7 @@ def _blocks(rows: DataFrame, n_parts: int, block_bytes: int, name: str) -> DataF
     extra = rows.schema["extra"].dataType.simpleString()
     schema = (
         f"block bigint, ids array<{kind}>, lengths array<bigint>, data binary, "
-        f"extras array<{extra}>"
+        f"anchors binary, extras array<{extra}>"
     )
     path = new_table_path(spark, "text-blocks")
     keep_path(spark, path)
@@ -422,7 +455,7 @@ def _exchange(blocks: DataFrame, answers: list[DataFrame], threshold: int, bucke
         take_worker("substrings", lambda: None)
         for batch in in_slices(batches, rows=1):
             (row,) = batch.to_pylist()
-            block = Block(row["ids"], row["lengths"], row["data"], threshold)
+            block = Block.of(row, threshold)
             ranks = block.ranks(_by_step(row["answers"], step)).distinct
             parts = np.split(ranks, np.searchsorted(ranks, bounds))
             sent = [(k, part) for k, part in enumerate(parts) if len(part)]
@@ -504,7 +537,7 @@ def remove_repeats(
     named = rows.where("id is not null")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, math.ceil(size / block_bytes))
-    blocks = _blocks(named, n_parts, block_bytes, f"text_blocks_{uuid.uuid4().hex}")
+    blocks = _blocks(named, n_parts, block_bytes, threshold, f"text_blocks_{uuid.uuid4().hex}")
     buckets = max(1, math.ceil(size / (BUCKET_BYTES // BLOCK_BYTES * block_bytes)))
     answers: list[DataFrame] = []
     for _ in range(STEPS):
@@ -514,8 +547,8 @@ def remove_repeats(
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, rows=1):
-            (row,) = batch.select(["ids", "lengths", "data", "answers"]).to_pylist()
-            block = Block(row["ids"], row["lengths"], row["data"], threshold)
+            (row,) = batch.select(["ids", "lengths", "data", "anchors", "answers"]).to_pylist()
+            block = Block.of(row, threshold)
             gone = block.finish(_by_step(row["answers"], STEPS))
             removed, spans, digests, kept = [], [], [], []
             for start, end in zip(block.starts.tolist(), block.ends.tolist(), strict=True):

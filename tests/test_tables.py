@@ -1,4 +1,5 @@
 import math
+import time
 
 import pandas as pd
 import pyarrow.parquet as pq
@@ -229,3 +230,22 @@ def test_display_fallbacks(spark):
     named = spark.createDataFrame([("n", None)], "work string, description string")
     assert named.select(first_of(named, "work_description", F.lit("?"))).first()[0] == "n"
     assert named.select(first_of(named, "risk_level", F.lit("High"))).first()[0] == "High"
+
+
+def test_stored_frames_leave_no_shuffle_files(spark, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    before = spark.conf.get(scratch.SHUFFLE_CLEANUP)
+
+    def files():
+        return {name for name in disk.getAllBlocks().mkString(" ").split() if name.startswith("shuffle_")}
+
+    earlier = files()
+    frame = spark.range(5000).selectExpr("id % 70 AS k", "id").groupBy("k").count().orderBy("count", "k")
+    found = scratch.stored(frame, "counts")
+    limit = time.time() + 20
+    while files() - earlier and time.time() < limit:  # executors remove them on their own
+        time.sleep(0.2)
+    assert not files() - earlier
+    assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == before
+    assert found.count() == 70

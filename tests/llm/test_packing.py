@@ -80,3 +80,16 @@ def test_buckets_on_disk(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "f")], "doc_id long, text string")
     packing.write_buckets(packing.pack(docs, PATH), str(tmp_path / "p"))
     assert {p.name for p in (tmp_path / "p").glob("length=*")} == {"length=4", "length=2"}
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """Words met again outlive the bound of the cache, rare ones make room."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    words, learned = packing.WordIds(PATH), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: learned.extend(new) or learn(new))
+    texts = [" ".join(["often", "Seen,", *(f"rare{i}x{k}" for k in range(40))]) for i in range(12)]
+    for text in texts:
+        (data,) = words.encode([text], 2)
+        assert np.frombuffer(data, "<u4").tolist() == ids_of(text)
+    assert learned.count(b"often") == learned.count(b"seen,") == 1

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import json
 import re
 import zlib
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from worksight.llm.common import BoundedCache, Numbering, in_slices, take_worker, text_or_empty
+from worksight.llm.common import Numbering, in_slices, take_worker, text_or_empty
+from worksight.llm.words import Numbered, WordNumbers, behind_one_another
 from worksight.sources.scratch import stored
 
 MAX_TOKENS = 4096
 WORD_END = "</w>"  # fixed value: marks the last token of a word
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # ASCII, without quotes and backslash
-# Words whose ids a worker keeps between batches, about 150 bytes each.
+# Words whose ids a worker keeps between batches, about 100 bytes each.
 CACHED_WORDS = 400_000
 
 
@@ -69,69 +70,83 @@ class WordIds:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.ends_word[number] = token.endswith(WORD_END)
-        self.known = BoundedCache(CACHED_WORDS)
+        self.numbers = WordNumbers(CACHED_WORDS)
+        self.ids = np.zeros(0, "<u4")  # of all known words, one behind the other
+        self.starts = np.zeros(1, np.int64)  # where those of each word start, and the end
 
-    def _one_by_one(self, words: list[str]) -> Iterator[bytes]:
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one behind the other, and how many each has."""
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return (np.array(found.ids, "<u4").tobytes() for found in encoded)
+        lists = [found.ids for found in encoded]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), "<u4", int(lengths.sum())), lengths
 
-    def _runs_of_letters(self, runs: list[str]) -> Iterator[bytes]:
+    def _runs_of_letters(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(np.zeros(0, "<u4"), np.zeros(0, np.int64))]
         for start in range(0, len(runs), 5_000):
             some = runs[start : start + 5_000]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):  # lower-casing made something else of a letter
-                yield from self._one_by_one(some)
-                continue
-            data, at = ids.tobytes(), 0
-            for end in (4 * ends).tolist():
-                yield data[at:end]
-                at = end
-
-    def _learn(self, words: list[bytes]) -> None:
-        runs, others = Numbering(), Numbering()
-        run_of, other_of = [], []
-        texts = b"\n".join(words).decode().split("\n") if words else []
-        for text in texts:
-            letters = text.rstrip(PUNCTUATION)
-            # some capitals become a letter and a mark, which joins what follows
-            if letters.isalpha() and (letters.isascii() or letters.lower().isalpha()):
-                run_of.append(runs[letters])
-                other_of.append(-1 if letters is text else others[text[len(letters) :]])
-            else:
-                run_of.append(-1)
-                other_of.append(others[text])
-        run_ids = list(self._runs_of_letters(list(runs)))
-        other_ids = list(self._one_by_one(list(others)))
-        run_ids.append(b"")  # at -1
-        other_ids.append(b"")
-        ids = map(add, map(run_ids.__getitem__, run_of), map(other_ids.__getitem__, other_of))
-        self.known.update(zip(words, ids, strict=True))
-
-    def _split(self, text: str) -> list[bytes]:
-        """Words at ASCII white space, those that are ASCII alone in lower case."""
-        data = text.encode()
-        if any(start in text for start in self.special):
-            return data.split()
-        if text.isascii():
-            return data.lower().split()
-        return [word.lower() if word.isascii() else word for word in data.split()]
+            if len(ends) == len(some):
+                parts.append((ids, np.diff(ends, prepend=0)))
+            else:  # lower-casing made something else of a letter
+                parts.append(self._one_by_one(some))
+        ids, lengths = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one behind the other, and how many each has."""
+        texts = b"\n".join(words).decode().split("\n")
+        letters = [text.rstrip(PUNCTUATION) for text in texts]
+        # some capitals become a letter and a mark, which joins what follows
+        plain = [x.isalpha() and (x.isascii() or x.lower().isalpha()) for x in letters]
+        runs = list(itertools.compress(letters, plain))
+        # what follows the run, or a word of another kind as a whole; no text stands for nothing
+        others = Numbering({"": 0})
+        rest = [
+            others[text[len(run) :] if is_plain else text]
+            for text, run, is_plain in zip(texts, letters, plain, strict=True)
+        ]
+        run_ids, run_lengths = self._runs_of_letters(runs)
+        other_ids, other_lengths = self._one_by_one(list(others))
+        lengths = np.zeros((len(texts), 2), np.int64)
+        lengths[plain, 0] = run_lengths
+        lengths[:, 1] = other_lengths[rest]
+        starts = np.zeros((len(texts), 2), np.int64)
+        starts[plain, 0] = np.cumsum(run_lengths) - run_lengths
+        starts[:, 1] = (np.cumsum(other_lengths) - other_lengths)[rest] + len(run_ids)
+        values = np.concatenate((run_ids, other_ids))
+        return behind_one_another(values, starts.ravel(), lengths.ravel()), lengths.sum(1)
+
+    def _keep(self, found: Numbered) -> None:
+        """The ids by word as the numbers now are."""
+        lengths, known = np.diff(self.starts), self.ids
+        if found.kept is not None:
+            lengths = lengths[found.kept]
+            known = behind_one_another(self.ids, self.starts[found.kept], lengths)
+        ids, new_lengths = self._learn(found.new)
+        self.ids = np.concatenate((known, ids))
+        self.starts = np.concatenate(([0], np.cumsum(lengths), known.size + np.cumsum(new_lengths)))
+
+    def _lowered(self, text: str, data: bytes) -> bytes:
+        return data if any(start in text for start in self.special) else data.lower()
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text and the end id."""
-        end = np.array([end_id], "<u4").tobytes()
-        words = [self._split(text) for text in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = set().union(*words)
-        self._learn(list(new))
-        self.known[b""] = end  # no word is empty
-        get = self.known.__getitem__
-        for of_text in words:
-            of_text.append(b"")
-            yield b"".join(map(get, of_text))
+        originals = [text.encode() for text in texts]
+        lowered = list(map(self._lowered, texts, originals))
+        found = self.numbers.of(lowered, originals)
+        if found.new:
+            self._keep(found)
+        starts = self.starts[found.numbers]
+        lengths = self.starts[found.numbers + 1] - starts
+        behind = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(found.counts)]
+        ids = np.insert(behind_one_another(self.ids, starts, lengths), behind, np.uint32(end_id))
+        bounds = [0, *(4 * (behind + np.arange(1, len(texts) + 1))).tolist()]
+        data = ids.tobytes()
+        for start, end in itertools.pairwise(bounds):
+            yield data[start:end]
 
 
 @functools.lru_cache(maxsize=2)

@@ -88,3 +88,36 @@ def test_numbers_by_byte_planes():
     values = np.array([0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32)
     data = pa.py_buffer(shared_terms._planes(values))
     assert shared_terms._from_planes(data).tolist() == values.tolist()
+
+
+def test_a_bucket_hears_only_of_works_with_its_terms():
+    n, buckets = 500, 64
+    works = pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.arange(n)),
+            pa.array([1] * n),
+            pa.array([n] * n),
+            pa.array([[7 * i, 7 * i + 1] for i in range(n)], pa.list_(pa.int64())),
+            pa.array([[0, 0]] * n, pa.list_(pa.int16())),
+        ],
+        names=["key", "n_projects", "n_docs", "code", "check"],
+    )
+    rows = shared_terms._slice(works, np.full(n, 2), 0, np.arange(buckets, dtype=np.int32))
+    assert len(rows) == buckets
+    # once for each of 1,000 terms at most, not once for each work in each bucket
+    assert sum(len(x) for x in rows["n_docs"].to_pylist()) <= 8 * 2 * n
+
+
+def test_every_task_gets_one_bucket(spark):
+    labels = shared_terms._labels(spark, 37)
+    dealt = spark.createDataFrame([(int(x),) for x in labels], "bucket int").repartition(37, "bucket")
+    sizes = dealt.rdd.glom().map(len).collect()
+    assert sizes == [1] * 37
+
+
+def test_sums_are_never_rounded_down():
+    random = np.random.default_rng(2)
+    sums = random.normal(size=1000) * 10.0 ** random.integers(-3, 9, 1000)
+    back = shared_terms._from_halves(shared_terms._halves(sums))
+    assert (back >= sums).all() and (back - sums).max() <= np.abs(sums).max() * 1e-3
+    assert shared_terms._from_halves(shared_terms._halves(np.zeros(3))).tolist() == [0, 0, 0]

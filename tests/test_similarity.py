@@ -20,6 +20,7 @@ from worksight.operators.similarity import (
     top_pairs,
 )
 from worksight.operators.terms import work_vectors
+from worksight.sources import scratch
 
 
 def test_stop_words(spark):
@@ -254,3 +255,46 @@ def test_threshold_is_a_parameter(spark):
         assert pair_count(similar).first().n_pairs == len(expected)
     with pytest.raises(ValueError):
         find_similar_works(df, config=ScreeningConfig(similarity_threshold=0.0))
+
+
+def test_texts_are_cut_into_tokens_once(spark, monkeypatch):
+    """What follows reads the stored tokens."""
+    read = []
+    stored = similarity.stored
+
+    def counting(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        read.append((name, "rlike" in plan.lower() or "regexp" in plan.lower() or "split" in plan.lower()))
+        return stored(df, name)
+
+    monkeypatch.setattr(similarity, "stored", counting)
+    rows = [(f"p{i}", "Road", f"repair of bridge {i % 3} in the old town") for i in range(9)]
+    frame = spark.createDataFrame(rows, "project_id string, category string, work_description string")
+    similarity.find_similar_works(frame)
+    cut = {name for name, of_texts in read if of_texts and name in ("tokenised", "members", "works")}
+    assert cut == {"tokenised"}
+
+
+def test_candidates_in_parts_and_what_stays_stored(spark, monkeypatch):
+    """Many candidates taken part by part give the same pairs; nothing but the result stays."""
+    common = " ".join(f"{a}{b}road" for a in "bcdfghklmnpr" for b in ("a", "e", "i", "o", "u", "ai", "au", "ei", "eu", "oi"))
+    places = ["north", "south", "east", "west", "hill", "lake", "mill", "wood", "moor"]
+    texts = [f"{common} {places[i % 9]} {places[i % 4]}side" for i in range(80)]
+    rows = [(f"p{i:03d}", "Road", text) for i, text in enumerate(texts)]
+    projects = spark.createDataFrame(rows, "project_id string, category string, work_description string")
+
+    def pairs():
+        found = similarity.find_similar_works(projects)
+        return sorted(map(tuple, found.pairs.collect())), found
+
+    whole, _ = pairs()
+    before, parts = scratch.kept(spark), []
+    monkeypatch.setattr(similarity, "VERIFIED", 3)
+    cosines = similarity._cosines
+    monkeypatch.setattr(similarity, "_cosines", lambda *x: parts.append(1) or cosines(*x))
+    some, found = pairs()
+    assert some == whole and len(parts) > 1 and len(whole) > 3
+    new = [x for x in scratch.kept(spark) if not any(x is y for y in before)]
+    names = sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in new)
+    assert names == ["members", "shape-pairs", "shaped-works", "shapes"]
+    assert found.members.count() == 80 and similarity.copy_groups(found).count() > 0
